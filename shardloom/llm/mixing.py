@@ -10,7 +10,7 @@ from .common import WORD, stored, table
 #: Keys are the first 60 bits of an MD5 digest.
 KEY_BITS = 60
 #: Documents in one range of keys; a source is cut into as many ranges as it needs.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 5_000
 #: A target stops at so many times its source's size.
 MOST_EPOCHS = 3
 
