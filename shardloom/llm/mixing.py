@@ -39,9 +39,11 @@ def source_targets(sized: DataFrame, weights: int = 3) -> DataFrame:
     return run.select("source", "source_size", "rows", "weight", F.least("cap", F.col("weight") * F.coalesce("level", "ratio")).alias("target"))
 
 
-def mix(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target, epochs (whole passes), part (words of one more), taken.
 
+    Columns of docs named in carry come along.
+
     taken = epochs * size + part. Every document gets a random key from its id; each source is sorted by key in ranges
     of keys, and running sums of words tell how far into the source the budget reaches: whole passes first, then the
     documents before the cut, and of the document at the cut the words up to the budget. Sums are exact, so reruns
@@ -55,6 +57,7 @@ def mix(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", text_col: st
         F.col(source_col).alias("source"),
         F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.conv(F.substring(digest, 1, KEY_BITS // 4), 16, 10).cast("long").alias("key"),
+        *carry,
     )
     narrow = stored(narrow, "mix-sizes")
     targets = stored(source_targets(narrow), "mix-targets")
@@ -72,7 +75,23 @@ def mix(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", text_col: st
     epochs = F.when(F.col("source_size") > 0, F.expr("floor(target) div source_size")).otherwise(F.lit(0))
     cut = placed.withColumns({"at": at, "epochs": epochs}).withColumn("rest", budget - F.col("epochs") * F.col("source_size"))
     cut = cut.withColumn("part", F.greatest(F.lit(0), F.least("size", F.col("rest") - F.col("at"))).cast("long"))
-    return cut.select("doc_id", "source", "size", "source_size", "target", "epochs", "part", (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken"))
+    return cut.select("doc_id", "source", "size", "source_size", "target", "epochs", "part", (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken"), *carry)
+
+
+def mixed_documents(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: each row of docs as often as it is taken, and once more with its first words if it is cut.
+
+    Columns stay as they are, but for the text of the rows at the cuts. Rows that are not taken don't come out.
+    """
+    row = F.xxhash64(F.lit(seed), id_col, text_col, source_col)
+    marked = docs.withColumn("__row", row)
+    taken = mix(marked, seed, id_col, text_col, source_col, ("__row",)).where("taken > 0")
+    copies = taken.groupBy("__row").agg(F.sum("epochs").cast("int").alias("__whole"), F.collect_list(F.when(F.col("part") > 0, F.col("part").cast("int"))).alias("__parts"))
+    one = marked.join(copies, "__row").dropDuplicates(["__row"])
+    spread = one.withColumn("__words", F.explode(F.concat(F.array_repeat(F.lit(-1), F.col("__whole")), F.col("__parts"))))
+    words = F.regexp_extract_all(text_col, F.lit("[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+"), F.lit(0))
+    cut = F.when(F.col("__words") < 0, F.col(text_col)).otherwise(F.array_join(F.slice(words, 1, F.greatest("__words", F.lit(0))), ""))
+    return spread.withColumn(text_col, cut).select(*[f"`{c}`" for c in docs.columns])
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
