@@ -8,14 +8,15 @@ from __future__ import annotations
 
 import hashlib
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import bucket_count, in_place, open_chunk, pack, squeeze, unpack, unsqueeze, word_chunks, words_of
+from .chunks import bucket_count, in_place, open_chunk, pack, unpack, word_chunks, words_of
 from .common import table, utf8
 
 ENCODED = "doc_id bigint, ids array<int>, decoded string"
@@ -39,6 +40,14 @@ def decode(encoded: DataFrame, pieces: DataFrame, separator: str = " ", id_col:
     return long.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["piece"]), separator).alias("decoded"))
 
 
+@cache
+def piece_bytes(tokenizer_file: str) -> dict[int, bytes]:
+    """The id-to-piece table as a worker holds it."""
+    from tokenizers import Tokenizer
+
+    return {i: p.encode() for p, i in Tokenizer.from_file(tokenizer_file).get_vocab(with_added_tokens=True).items()}
+
+
 def full_rows(ids: pa.Array, flat: np.ndarray, counts: np.ndarray, decoded: list[bytes]) -> pa.RecordBatch:
     """doc_id, ids, decoded."""
     ends = np.r_[0, np.cumsum(counts)].astype(np.int32)
@@ -61,7 +70,7 @@ def encode_decode(docs: DataFrame, tokenizer_file: str, finish: Callable = full_
     def find(rows: pa.Table) -> pa.Table:
         """Encodes the distinct words of a bucket, and gives every chunk the ids of its words, packed."""
         rows = [r for r in rows.to_pylist() if r["is_words"]]
-        names, kinds = ["chunk", "bucket", "n", "ids", "pieces"], [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        names, kinds = ["chunk", "bucket", "n", "ids"], [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         if not rows:
             return pa.table([pa.array([], t) for t in kinds], names)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -70,7 +79,6 @@ def encode_decode(docs: DataFrame, tokenizer_file: str, finish: Callable = full_
         t = Tokenizer.from_file(tokenizer_file)
         t.no_truncation()
         t.no_padding()
-        piece = {i: p.encode() for p, i in t.get_vocab(with_added_tokens=True).items()}
         own = [words_of(r) for r in rows]
         distinct = list(dict.fromkeys(w for words in own for w in words))
         ids: dict[bytes, list[int]] = {}
@@ -78,15 +86,14 @@ def encode_decode(docs: DataFrame, tokenizer_file: str, finish: Callable = full_
             some = distinct[at : at + 4096]
             for w, e in zip(some, t.encode_batch_fast([str(w, "utf-8", "replace") for w in some], add_special_tokens=False), strict=True):
                 ids[w] = e.ids
-        text = {w: b" ".join([piece[i] for i in x]) for w, x in ids.items()}
         out = []
         for r, words in zip(rows, own, strict=True):
             found = [ids[w] for w in words]
             flat = np.array([len(f) for f in found] + [i for f in found for i in f], np.int64)
-            out.append((r["chunk"], r["bucket"], len(words), pack(flat), squeeze(b"\n".join([text[w] for w in words]))))
+            out.append((r["chunk"], r["bucket"], len(words), pack(flat)))
         return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    found = sent.groupBy("key").applyInArrow(find, "chunk bigint, bucket bigint, n bigint, ids binary, pieces binary")
+    found = sent.groupBy("key").applyInArrow(find, "chunk bigint, bucket bigint, n bigint, ids binary")
 
     def place(own: pa.Table, found: pa.Table) -> pa.Table:
         """Puts the ids of a chunk's words in their places."""
@@ -100,9 +107,9 @@ def encode_decode(docs: DataFrame, tokenizer_file: str, finish: Callable = full_
         sizes = np.concatenate([f[: r["n"]] for f, r in zip(flats, found, strict=True)]) if found else np.empty(0, np.int64)
         all_ids = np.concatenate([f[r["n"] :] for f, r in zip(flats, found, strict=True)]) if found else np.empty(0, np.int64)
         counts[order], start[order] = sizes, np.cumsum(sizes) - sizes
-        texts: list[bytes] = [b""] * len(which)
-        for i, t in zip(order.tolist(), (t for r in found for t in unsqueeze(r["pieces"]).split(b"\n")), strict=True):
-            texts[i] = t
+        piece, texts, at_id = piece_bytes(tokenizer_file), [b""] * len(which), all_ids.tolist()
+        for i, s, k in zip(order.tolist(), (np.cumsum(sizes) - sizes).tolist(), sizes.tolist(), strict=True):
+            texts[i] = b" ".join([piece[x] for x in at_id[s : s + k]])
         n = counts[at]
         flat = all_ids[np.repeat(start[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
         ends = np.r_[0, np.cumsum(lengths)]
