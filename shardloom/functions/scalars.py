@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def as_column(c: str | Column) -> Column:
@@ -26,7 +27,7 @@ def could_be_similar(a: str | Column, b: str | Column, threshold: float) -> Colu
     return F.abs(a - b) <= F.lit(1 - threshold + 1e-9) * F.greatest(a, b)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """The matching-blocks ratio of two strings (2 * matched / total), another measure than name_similarity; in batches."""
     from difflib import SequenceMatcher

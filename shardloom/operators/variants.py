@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from .progressive import merge_states, partial_states, state_variance
 from .stats import hand_variance
@@ -38,7 +39,7 @@ def grouped_sql(df: DataFrame, keys: Sequence[str], c: str, d: str, e: str) -> D
 def grouped_partials(df: DataFrame, keys: Sequence[str], c: str, d: str, e: str) -> DataFrame:
     """Batch states made by numpy, merged by one aggregation."""
     state = {x: merge_states(partial_states(df, keys, x), keys) for x in dict.fromkeys((c, d, e))}
-    out = state[c].select(*keys, F.col("mean").alias("mean_of_C"))
+    out = state[c].select(*keys, F.when(F.col("n") > 0, F.col("mean")).alias("mean_of_C"))
     out = out.join(state[d].select(*keys, F.col("max").alias("max_of_D")), list(keys))
     var = state_variance()
     return out.join(state[e].select(*keys, var.alias("var_of_E"), var.alias("var_of_E2")), list(keys))
@@ -62,7 +63,7 @@ def grouped_map(df: DataFrame, keys: Sequence[str], c: str, d: str, e: str) -> D
     return means.join(merged, list(keys)).select(*keys, "mean_of_C", "max_of_D", "var_of_E", "var_of_E2")
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def moments(x: pd.Series) -> np.ndarray:
     """A user-defined aggregate: count, mean and sum of squared deviations of a part."""
     x = x.dropna().to_numpy(float)

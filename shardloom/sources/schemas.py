@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+_TYPES = {"int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "boolean": T.BooleanType()}
+
+
 def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+    """Fields `name type [not null]`, read here, as Spark's own reader needs a session."""
+    fields = [f.split() for f in spec.split(",")]
+    return T.StructType([T.StructField(f[0], _TYPES[f[1]], f[2:] != ["not", "null"]) for f in fields])
 
 
 #: Facts with two grouping keys and six measures (fixed names).
