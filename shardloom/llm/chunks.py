@@ -106,7 +106,7 @@ def word_chunks(docs: DataFrame, buckets: int, change: Callable[[bytes], bytes]
                 seen = np.bincount(rank[at[of]], minlength=len(words))
             by = np.argsort(which, kind="stable")
             starts = np.flatnonzero(np.r_[True, which[by][1:] != which[by][:-1]][: len(by)])
-            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(by)], strict=True):
+            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(by)], strict=False):
                 own = by[s:e]
                 bucket = int(which[own[0]])
                 rows.append((~bucket, True, number, bucket, len(own), squeeze(b"\n".join([words[i] for i in own.tolist()])), pack(seen[own]) if counted else b"", b""))

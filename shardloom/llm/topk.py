@@ -60,7 +60,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
     Components become floor(scale * x). Vectors (or ids) that are null or hold null or non-finite components take no
     part; vectors of different lengths don't match; an empty vector scores 0 with others. Rows that bear the query's
     own id are not its candidates; other repeated rows are candidates each, and a query given more than once is asked
-    once (with its smallest vector). Fewer candidates than k give fewer rows; no query or vector gives none.
+    once (with its smallest vector). A score beyond 64 bits stops the job. Fewer candidates than k give fewer rows; no query or vector gives none.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("vec"), is_query.alias("asks"))

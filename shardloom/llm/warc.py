@@ -133,9 +133,9 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     carried = placed.groupBy("canonical", "span").agg(latest.alias("own")).select("canonical", "span", F.max("own").over(before).alias("carried"))
     within = Window.partitionBy("canonical", "span").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
     found = placed.withColumn("own", latest.over(within)).where("asks").join(carried, ["canonical", "span"], "left")
-    found = found.select("record_id", "at", F.coalesce("own", "carried")["record_id"].alias("refers_to")).dropDuplicates(["record_id", "at"])
+    found = found.select(F.col("record_id").alias("of_record"), F.col("at").alias("of_at"), F.coalesce("own", "carried")["record_id"].alias("refers_to")).dropDuplicates(["of_record", "of_at"])
     responses = given.where("is_full").select(F.col("record_id").alias("refers_to"), *[F.col(c).alias(f"of_{c}") for c in ("status", "fields", "n_bytes", "digest")]).dropDuplicates(["refers_to"])
-    with_response = given.where("asks").join(found, given["record_id"].eqNullSafe(found["record_id"]) & given["at"].eqNullSafe(found["at"]), "left").drop(found["record_id"], found["at"])
+    with_response = given.where("asks").join(found, F.col("record_id").eqNullSafe(F.col("of_record")) & F.col("at").eqNullSafe(F.col("of_at")), "left").drop("of_record", "of_at")
     with_response = with_response.join(responses, "refers_to", "left")
     weak = lambda c: F.regexp_replace(c, "^W/", "")
     etag, since = field("fields", "etag"), field("fields", "last-modified")
