@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import os
 import random
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
@@ -50,6 +52,16 @@ def itinerary(formulations: Iterable[Formulation], sizes: Iterable[int], runs: i
 RUNS = "question string, name string, size bigint, seconds double"
 
 
+def log_run(path: str, question: str, name: str, size: int, seconds: float) -> None:
+    """Adds a run to a CSV log of RUNS, with its header if the log is new."""
+    new = not os.path.exists(path)
+    with open(path, "a", newline="") as f:
+        writer = csv.writer(f)
+        if new:
+            writer.writerow([c.split()[0] for c in RUNS.split(", ")])
+        writer.writerow([question, name, size, f"{seconds:.6f}"])
+
+
 def summarize_runs(spark: SparkSession, path: str) -> DataFrame:
     """question, name, size, runs, mean, std, low, high of a CSV log of RUNS; low and high bound the mean with 95 percent."""
     log = spark.read.schema(RUNS).csv(path, header=True)

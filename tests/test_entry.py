@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from shardloom.plans.queries import QUERIES, SQL
-from shardloom.plans.registry import Formulation, Registry, itinerary, summarize_runs
+from shardloom.plans.registry import Formulation, Registry, itinerary, log_run, summarize_runs
 from shardloom.plans.verify import differences
 
 SF = "/root/testdata/sf0.001"
@@ -55,6 +55,7 @@ def test_registry(spark, tmp_path):
         r.add(a)
     assert r.questions() == ["q"] and a.infeasible(11) and not a.infeasible(10)
     assert itinerary(r.of("q"), [1, 2], 3, seed=1) == itinerary(r.of("q"), [1, 2], 3, seed=1)
-    (tmp_path / "log.csv").write_text("question,name,size,seconds\nq,a,1,1.0\nq,a,1,3.0\n")
+    for seconds in (1.0, 3.0):
+        log_run(str(tmp_path / "log.csv"), "q", "a", 1, seconds)
     row = summarize_runs(spark, str(tmp_path / "log.csv")).first()
     assert row["runs"] == 2 and row["mean"] == 2.0 and row["low"] < 2 < row["high"]
