@@ -1,10 +1,10 @@
 """Language-model scores: marginal likelihood over a lattice of subwords.
 
-The vocabulary is that of an existing piece model, and words that the training documents hold twice or more, as whole
-pieces. Scores are logs of shares of counts: a whole word counts as often as it is seen; a word seen once stands for
-those not seen and counts by its pieces, into which the piece model segments it. A document's probability is the
-product over its words, and one end piece, of the sum over all segmentations of the word; the sum is a forward
-recursion in logs. Words never share a piece, so each distinct word is scored once.
+The vocabulary is that of an existing piece model, and the words of the training documents as whole pieces. Scores are
+logs of shares of counts: a word counts as often as it is seen, less DISCOUNT; what is taken off goes to the pieces into
+which the piece model segments it, for words that are not seen. A document's probability is the product over its words,
+and one end piece, of the sum over all segmentations of the word; the sum is a forward recursion in logs. Words never
+share a piece, so each distinct word is scored once.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from .common import LOWER, crc_fold, stored, table, utf8
 
 #: Added to every piece's count, as to every word's in the base model.
 SMOOTHING = 0.1
-#: Training count from which a word is a piece of its own.
-WHOLE = 2
+#: Taken off each word's count.
+DISCOUNT = 0.6
 #: Marks the start of a word in the piece vocabulary (fixed value).
 WORD_START = "▁"
 _LONGS = pa.list_(pa.int64())
@@ -114,31 +114,29 @@ def score_documents(docs: DataFrame, trains: Column, model_file: str, id_col: st
     chunks = stored(word_chunks(rows, bucket_count(docs, text_col), lowered, "trains"), "lm-chunks")
 
     def learn(rows: pa.Table) -> pa.Table:
-        """Of a bucket: training tokens and distinct training words, tokens of whole words, and how often each piece is used."""
+        """Of a bucket: training tokens and distinct training words, and in how many of these each piece is, repeats counted."""
         _, total = _bucket_counts(rows.to_pylist())
-        counts = [c for c in total.values() if c]
-        seen = [(w, c) for w, c in total.items() if 0 < c < WHOLE]
+        seen = [w for w, c in total.items() if c]
         sp, _, _ = pieces_of(model_file)
         used = np.zeros(sp.get_piece_size(), np.int64)
         for at in range(0, len(seen), 8192):
             some = seen[at : at + 8192]
-            ids = sp.encode([str(w, "utf-8", "replace") for w, _ in some], num_threads=1)
-            flat = np.array([i for x in ids for i in x], np.int64)
-            np.add.at(used, flat, np.repeat([c for _, c in some], [len(x) for x in ids]))
+            ids = sp.encode([str(w, "utf-8", "replace") for w in some], num_threads=1)
+            used += np.bincount([i for x in ids for i in x], minlength=len(used))
         at = np.flatnonzero(used)
-        return pa.table({"tokens": [sum(counts)], "distinct": [len(counts)], "whole": [sum(c for c in counts if c >= WHOLE)], "piece": pa.array([at.tolist()], _LONGS), "times": pa.array([used[at].tolist()], _LONGS)})
+        return pa.table({"tokens": [sum(total.values())], "distinct": [len(seen)], "piece": pa.array([at.tolist()], _LONGS), "times": pa.array([used[at].tolist()], _LONGS)})
 
-    learned = chunks.where("is_words").groupBy("key").applyInArrow(learn, "tokens bigint, distinct bigint, whole bigint, piece array<bigint>, times array<bigint>")
+    learned = chunks.where("is_words").groupBy("key").applyInArrow(learn, "tokens bigint, distinct bigint, piece array<bigint>, times array<bigint>")
     learned = stored(learned, "lm-learned")
-    tokens, distinct, in_whole = learned.agg(F.sum("tokens"), F.sum("distinct"), F.sum("whole")).first()
+    tokens, distinct = (x or 0 for x in learned.agg(F.sum("tokens"), F.sum("distinct")).first())
     ends = rows.where("trains").count()
-    n_all, v_all = (tokens or 0) + ends, (distinct or 0) + (ends > 0)
+    n_all, v_all = tokens + ends, distinct + (ends > 0)
     # One row for each piece at most.
     used = learned.select(F.inline(F.arrays_zip("piece", "times"))).groupBy("piece").agg(F.sum("times").alias("times")).collect()
     _, texts, by_byte = pieces_of(model_file)
-    counts = {r["piece"]: r["times"] for r in used}
+    counts = {r["piece"]: DISCOUNT * r["times"] for r in used}
     known = [*texts.values(), *by_byte.values()]
-    drawn = math.log(sum(counts.get(i, 0) for i in known) + (in_whole or 0) + ends + SMOOTHING * (len(known) + 1))
+    drawn = math.log(sum(counts.get(i, 0) for i in known) + tokens - DISCOUNT * distinct + ends + SMOOTHING * (len(known) + 1))
     log_of = {i: math.log(counts.get(i, 0) + SMOOTHING) - drawn for i in known}
     model = spark.sparkContext.broadcast(({p: log_of[i] for p, i in texts.items()}, {b: log_of[i] for b, i in by_byte.items()}))
     end_score = (math.log(ends + SMOOTHING) - drawn) / math.log(10)
@@ -150,7 +148,7 @@ def score_documents(docs: DataFrame, trains: Column, model_file: str, id_col: st
         rows = rows.to_pylist()
         own, total = _bucket_counts(rows)
         score, tens = lattice_scorer(*model.value), math.log(10)
-        scores = {w: score(str(w, "utf-8", "replace"), math.log(c) - drawn if c >= WHOLE else None) / tens for w, c in total.items()}
+        scores = {w: score(str(w, "utf-8", "replace"), math.log(c - DISCOUNT) - drawn if c else None) / tens for w, c in total.items()}
         return pa.table({
             "chunk": [r["chunk"] for r in rows], "bucket": [r["bucket"] for r in rows], "n": [len(words) for words in own],
             "counts": pa.array([pack(np.array([total[w] for w in words])) for words in own], pa.binary()),

@@ -57,14 +57,15 @@ def test_language_model_scores(spark, tmp_path):
     sp, pieces, by_byte = pieces_of(P.path("piece_bpe_32k.model"))
     used = Counter()
     for w, c in counts.items():
-        if w is not None and c == 1:
+        if w is not None and c:
             used.update(sp.encode(w))
+    used = Counter({i: 0.6 * c for i, c in used.items()})
     known = [*pieces.values(), *by_byte.values()]
-    whole = sum(c for w, c in counts.items() if w is not None and c > 1)
+    whole = sum(c - 0.6 for w, c in counts.items() if w is not None)
     drawn = math.log(sum(used[i] for i in known) + whole + counts[None] + 0.1 * (len(known) + 1))
     logs = lambda ids: {k: math.log(used[i] + 0.1) - drawn for k, i in ids.items()}
     scorer = lattice_scorer(logs(pieces), logs(by_byte))
-    model = lambda w: math.log(counts[None] + 0.1) - drawn if w is None else scorer(w, math.log(counts[w]) - drawn if counts[w] > 1 else None)
+    model = lambda w: math.log(counts[None] + 0.1) - drawn if w is None else scorer(w, math.log(counts[w] - 0.6) - drawn if counts[w] else None)
     wanted = []
     for (i, _), ws in zip(rows, tokens, strict=True):
         base = sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws)
