@@ -4,8 +4,9 @@ Texts with equal shingle sets are one class from the start. Each class's signatu
 ranges of a single hash; empty bins copy a bin that a hash of (bin, attempt) picks. Classes that agree in a band share
 a bucket. First each class is compared with one centre of its buckets: a star, so candidates grow with the members.
 Confirmed links give components. What a star can leave out are links between members of different components that share
-a bucket: those are looked for by comparing signatures, in blocks of bounded size, only between such members, and
-confirmed as well. Every link is confirmed on the full shingle sets.
+a bucket. Components whose members' signatures say that they may be linked form a family, by a forest of such pairs;
+members of a family's different components are compared on their full sets, in cells of bounded size that give a forest
+of confirmed links. So what is sent on grows with the members throughout, and every link is confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ SHINGLE = 5
 BANDS, ROWS = 36, 5
 #: Pairs whose signatures agree by this much less than the threshold are not confirmed; five standard deviations.
 SLACK = 0.2
-#: Members of one block of a bucket, and texts that are compared with one other text in one group.
+#: Members of one block of a bucket or family, and texts that are compared with one other text in one group.
 BLOCK, GROUP = 1000, 256
 _U64 = np.uint64
 
@@ -134,37 +135,103 @@ def confirmed(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     return left.groupBy("a", "part").cogroup(right.groupBy("centre", "own_part")).applyInArrow(run, "a bigint, b bigint")
 
 
-def left_out(members: DataFrame, labels: DataFrame, sketches: DataFrame, threshold: int, bins: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a bucket and whose signatures may reach the threshold.
+def _in_blocks(rows: DataFrame, group: str, *carried: str) -> DataFrame:
+    """rows of groups dealt into cells (group, all_at, stray_at) of at most about BLOCK strays and BLOCK members.
 
-    Of a bucket, members outside the component that holds its smallest label are compared with all members, in blocks
-    of at most about BLOCK on either side.
+    Every stray meets every member of its group in one cell. Rows have rep and stray; in a cell, probe marks its strays.
     """
-    labelled = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mains = labelled.groupBy("h").agg(F.min("component").alias("main"), F.max("component").alias("other"), F.count(F.lit(1)).alias("k")).where("k > 2 and main <> other")
-    rows = labelled.join(mains.select("h", "main"), "h").withColumn("stray", F.col("component") != F.col("main"))
-    blocks = rows.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("n_all"), F.ceil(F.count_if("stray") / BLOCK).alias("n_stray"))
-    rows = rows.join(blocks, "h").join(sketches, "rep")
-    spot = F.xxhash64("rep")
-    cells = "h", "all_at", "stray_at"
-    base = rows.select("h", F.pmod(spot, "n_all").alias("all_at"), F.explode(F.sequence(F.lit(0), F.col("n_stray") - 1)).alias("stray_at"), "rep", "component", "n_shingles", "sketch", F.lit(False).alias("probe"))
-    probe = rows.where("stray").select("h", F.explode(F.sequence(F.lit(0), F.col("n_all") - 1)).alias("all_at"), F.pmod(spot, "n_stray").alias("stray_at"), "rep", "component", "n_shingles", "sketch", F.lit(True).alias("probe"))
+    sizes = rows.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("n_all"), F.ceil(F.count_if("stray") / BLOCK).alias("n_stray")).where("n_stray > 0")
+    rows, spot = rows.join(sizes, group), F.xxhash64("rep")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    base = rows.select(group, F.pmod(spot, "n_all").alias("all_at"), every("n_stray").alias("stray_at"), F.lit(False).alias("probe"), *carried)
+    probe = rows.where("stray").select(group, every("n_all").alias("all_at"), F.pmod(spot, "n_stray").alias("stray_at"), F.lit(True).alias("probe"), *carried)
+    return base.unionByName(probe)
+
+
+class _Labels:
+    """Components of a cell, merged as links are found; says which members are still apart."""
+
+    def __init__(self, *sides: np.ndarray):
+        self.names, at = np.unique(np.concatenate(sides), return_inverse=True)
+        self.of = np.arange(len(self.names))
+        self.sides = np.split(at, np.cumsum([len(s) for s in sides])[:-1])
+        self.links: list[tuple[int, int]] = []
+
+    def apart(self, i: int) -> np.ndarray:
+        """Members of side 1 that aren't in the component of the stray i of side 0."""
+        return np.flatnonzero(self.of[self.sides[1]] != self.of[self.sides[0][i]])
+
+    def link(self, i: int, members: np.ndarray) -> None:
+        """Joins the stray's component to those of the members, by one link each."""
+        own = self.sides[0][i]
+        for other in np.unique(self.of[self.sides[1][members]]).tolist():
+            if other != self.of[own]:
+                self.links.append((int(self.names[other]), int(self.names[own])))
+                self.of[self.of == other] = self.of[own]
+
+    def table(self) -> pa.Table:
+        return pa.table({"a": pa.array([a for a, _ in self.links], pa.int64()), "b": pa.array([b for _, b in self.links], pa.int64())})
+
+
+def maybe_linked(members: DataFrame, labelled: DataFrame, sketches: DataFrame, threshold: int, bins: int) -> DataFrame:
+    """Pairs of components (a, b) that members of one bucket, alike by their signatures, may link: a forest in each cell.
+
+    members(h, rep), labelled(rep, component). A bucket's strays are its members outside the component of the smallest
+    label there. Cells give one pair for each component that they join to another, so pairs grow with the members.
+    """
+    rows = members.join(labelled, "rep")
+    mains = rows.groupBy("h").agg(F.min("component").alias("main"), F.max("component").alias("other"), F.count(F.lit(1)).alias("k")).where("k > 2 and main <> other")
+    rows = rows.join(mains.select("h", "main"), "h").withColumn("stray", F.col("component") != F.col("main")).join(sketches, "rep")
 
     def run(rows: pa.Table) -> pa.Table:
-        get = lambda t, c: np.array(t.column(c))
         sides = [rows.filter(pc.equal(rows.column("probe"), p)) for p in (True, False)]
-        ids, comp, n = ([get(t, c) for t in sides] for c in ("rep", "component", "n_shingles"))
+        comp, n = ([np.array(t.column(c)) for t in sides] for c in ("component", "n_shingles"))
         sig = [np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, bins) for t in sides]
-        a, b = [], []
-        for i in range(len(ids[0])):
-            fits = (comp[1] != comp[0][i]) & (100 * np.minimum(n[1], n[0][i]) >= threshold * np.maximum(n[1], n[0][i]))
-            at = np.flatnonzero(fits)
+        labels = _Labels(*comp)
+        for i in range(len(comp[0])):
+            at = labels.apart(i)
+            at = at[100 * np.minimum(n[1][at], n[0][i]) >= threshold * np.maximum(n[1][at], n[0][i])]
+            labels.link(i, at[(sig[1][at] == sig[0][i]).mean(1) >= threshold / 100 - SLACK])
+        return labels.table()
+
+    cells = _in_blocks(rows, "h", "rep", "component", "n_shingles", "sketch")
+    return cells.groupBy("h", "all_at", "stray_at").applyInArrow(run, "a bigint, b bigint").distinct()
+
+
+def links_within(families: DataFrame, labelled: DataFrame, texts: DataFrame, threshold: int, bins: int) -> DataFrame:
+    """Pairs of components (a, b) that a link between two members of one family joins, confirmed on full shingle sets.
+
+    families(component, family) holds components that may be linked, directly or by way of others. Members outside the
+    largest component of a family are compared with all members of other components there, in cells; a cell gives one
+    link for each component that it joins to another, and leaves out pairs that links found before have joined.
+    """
+    rows = labelled.join(families, "component")
+    sizes = rows.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
+    mains = sizes.groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
+    rows = rows.join(mains, "family").withColumn("stray", F.col("component") != F.col("main"))
+    rows = rows.join(texts.withColumnRenamed("node", "rep"), "rep")
+
+    def run(rows: pa.Table) -> pa.Table:
+        sides = [rows.filter(pc.equal(rows.column("probe"), p)) for p in (True, False)]
+        labels = _Labels(*[np.array(t.column("component")) for t in sides])
+        sets = [[shingles(b.column("body").to_pylist()) for b in slices(iter(t.combine_chunks().to_batches()), "body")] for t in sides]
+        hashes, n = ([np.concatenate([s[k] for s in side] or [np.empty(0, (_U64, np.int64)[k])]) for side in sets] for k in (0, 1))
+        sig = [(signatures(h, c, bins) & _U64(255)).astype(np.uint8) for h, c in zip(hashes, n, strict=True)]
+        own, every = (np.split(h, np.cumsum(c)[:-1]) if len(c) else [] for h, c in zip(hashes, n, strict=True))
+        for i, mine in enumerate(own):
+            at = labels.apart(i)
+            at = at[100 * np.minimum(n[1][at], n[0][i]) >= threshold * np.maximum(n[1][at], n[0][i])]
             at = at[(sig[1][at] == sig[0][i]).mean(1) >= threshold / 100 - SLACK]
-            a += np.minimum(ids[1][at], ids[0][i]).tolist()
-            b += np.maximum(ids[1][at], ids[0][i]).tolist()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            if not len(at):
+                continue
+            sizes, flat = n[1][at], np.concatenate([every[j] for j in at.tolist()])
+            place = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
+            both = np.add.reduceat((mine[place] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
+            labels.link(i, at[100 * both >= threshold * (sizes + len(mine) - both)])
+        return labels.table()
 
-    return base.unionByName(probe).groupBy(*cells).applyInArrow(run, "a bigint, b bigint").distinct()
+    cells = _in_blocks(rows, "family", "rep", "component", "body")
+    return cells.groupBy("family", "all_at", "stray_at").applyInArrow(run, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,15 +266,16 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, bands: int = BANDS, ro
     links = stored(confirmed(star, texts, threshold), "near-links")
     folder = path.rpartition("/")[0]
     labels = stored(connected_components(links, "a", "b", folder), "near-labels")
-    slim = members.select("h", "rep")
-    rest = left_out(slim, labels, reps.select("rep", "n_shingles", "sketch").join(wanted.withColumnRenamed("node", "rep"), "rep", "left_semi"), threshold, bands * rows)
-    rest = stored(rest.join(star, ["a", "b"], "left_anti"), "near-rest")
-    more = stored(confirmed(rest, texts, threshold), "near-more")
-    if more.isEmpty():
-        final = labels
-    else:
-        between = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
-        final = stored(connected_components(between, "a", "b", folder), "near-components")
+    ours = stored(wanted.withColumnRenamed("node", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component")), "near-ours")
+    sketches = about.select(F.col("node").alias("rep"), "n_shingles", "sketch").join(ours.select("rep"), "rep", "left_semi").dropDuplicates(["rep"])
+    maybe = stored(maybe_linked(members.select("h", "rep"), ours, sketches, threshold, bands * rows), "near-maybe")
+    final = labels
+    if not maybe.isEmpty():
+        families = stored(connected_components(maybe, "a", "b", folder).select(F.col("node").alias("component"), F.col("component").alias("family")), "near-families")
+        more = stored(links_within(families, ours, texts, threshold, bands * rows), "near-more")
+        if not more.isEmpty():
+            between = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
+            final = stored(connected_components(between, "a", "b", folder), "near-components")
     labelled = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", "doc_id", F.coalesce("component", "rep").alias("component"))
     least = labelled.groupBy("component").agg(F.min("doc_id").alias("least"))
     of_set = labelled.join(least, "component").select("set_id", "least")
