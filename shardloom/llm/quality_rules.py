@@ -73,9 +73,8 @@ def apply_rules(docs: DataFrame, model: LineModel, text_col: str = "text") -> Da
     least CONTENT_SHARE of its words is in lines decoded as content. Repeated rows get equal results.
     """
     docs = docs.drop(*COUNTS, "base_failed", "kept")
-    rest = [c for c in docs.columns if c != text_col]
-    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns], utf8(text_col).alias("__body"))
-    schema = docs.select(*[f"`{c}`" for c in docs.columns]).schema
+    rows = docs.select("*", utf8(text_col).alias("__body"))
+    schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "__body"):
@@ -83,7 +82,6 @@ def apply_rules(docs: DataFrame, model: LineModel, text_col: str = "text") -> Da
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in schema.names], *[pa.array(c, pa.int64()) for c in counts]], [*schema.names, *COUNTS])
 
     fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in schema] + [f"{c} bigint" for c in COUNTS])
-    del rest
     counted = rows.mapInArrow(run, fields)
     failed = (F.col("n_words") < FEWEST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     counted = counted.withColumn("base_failed", failed)
