@@ -24,7 +24,7 @@ def stream_stats(stream: DataFrame, keys: Sequence[str], mean: str, maximum: str
 
 
 def windowed_stats(stream: DataFrame, time: str, width: str, lateness: str, keys: Sequence[str], value: str) -> DataFrame:
-    """Count, mean, maximum and variance of each window of event time and key; beyond the reference.
+    """Count, mean, maximum and variance of each window of event time and key.
 
     Rows later than the watermark allows are left out, and a window is dropped from state, and in append mode given out, once it is past.
     """
