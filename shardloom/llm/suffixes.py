@@ -31,18 +31,25 @@ _U64 = np.uint64
 _NO_DOC = np.iinfo(np.int64).max
 
 
-class Words:
-    """Hashes of the words of a chunk's texts, and where each text begins."""
+class Layout:
+    """Where each text of a chunk begins and ends, in words."""
+
+    def __init__(self, lengths: np.ndarray):
+        self.lengths = lengths
+        self.ends = np.cumsum(lengths)
+        self.starts = self.ends - lengths
+        self.owner = np.repeat(np.arange(len(lengths)), lengths)
+
+
+class Words(Layout):
+    """The same with the hashes of the words."""
 
     def __init__(self, texts: list[bytes]):
         split = [t.split() for t in texts]
-        self.lengths = np.array([len(s) for s in split], np.int64)
-        self.ends = np.cumsum(self.lengths)
-        self.starts = self.ends - self.lengths
+        super().__init__(np.array([len(s) for s in split], np.int64))
         distinct = dict.fromkeys(chain.from_iterable(split))
         of = {w: xxhash.xxh3_64_intdigest(w) for w in distinct}
         self.hashes = np.fromiter(map(of.__getitem__, chain.from_iterable(split)), _U64, int(self.lengths.sum()))
-        self.owner = np.repeat(np.arange(len(texts)), self.lengths)
 
     def inside(self, width: int) -> np.ndarray:
         """Places at which `width` words of one text begin."""
@@ -85,7 +92,7 @@ def _in_buckets(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
     """Runs of sorted keys that fall in one bucket, buckets being equal ranges of keys."""
     of = ((keys >> _U64(32)) * _U64(buckets)) >> _U64(32)
     edges = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.empty(0, np.int64)
-    for s, e in zip(edges.tolist(), [*edges[1:].tolist(), len(of)], strict=True):
+    for s, e in zip(edges.tolist(), [*edges[1:].tolist(), len(of)], strict=False):
         yield int(of[s]), slice(s, e)
 
 
@@ -101,7 +108,7 @@ def _open(data: bytes) -> pa.RecordBatch:
         return r.read_all().combine_chunks().to_batches()[0]
 
 
-def _spans_of(flags: np.ndarray, words: Words) -> list[list[tuple[int, int]]]:
+def _spans_of(flags: np.ndarray, words: Layout) -> list[list[tuple[int, int]]]:
     """Per text, the runs of flagged words as (first, end), counted in the text."""
     out: list[list[tuple[int, int]]] = [[] for _ in words.lengths]
     n = len(flags)
@@ -219,6 +226,9 @@ def repeats(docs: DataFrame, least: int = LEAST, span: int = SPAN, id_col: str =
         first = np.flatnonzero(np.r_[True, hashes[by][1:] != hashes[by][:-1]][: len(by)])
         keys, docs_of, times = hashes[by][first], order[by][first], np.diff(np.r_[first, len(by)])
         out = [(own["chunk"], False, own["chunk"], -1, own["n"], squeeze(window.astype(np.int32).tobytes() + hashes.tobytes()))]
+        if not cut:
+            slim = pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("__order"), pa.array(texts.lengths)], [id_col, "__order", "__words"])
+            out.append((own["chunk"], False, own["chunk"], -2, own["n"], _ipc(slim)))
         for bucket, at in _in_buckets(keys, buckets):
             body = keys[at].tobytes() + docs_of[at].tobytes() + np.packbits(times[at] > 1).tobytes()
             out.append((~bucket, True, own["chunk"], bucket, at.stop - at.start, body))
@@ -249,18 +259,24 @@ def repeats(docs: DataFrame, least: int = LEAST, span: int = SPAN, id_col: str =
         return pa.table([pa.array([o[i] for o in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["chunk", "n", "data"])
 
     copies = extended.where("is_keys").groupBy("key").applyInArrow(first_copies, "chunk bigint, n bigint, data binary")
-    # What a chunk's live windows are, beside the chunk itself.
-    places = extended.where("not is_keys").select("chunk", F.lit(-1).cast("long").alias("n"), "data")
+    # What a chunk's live windows are (-1), and, if no text is to be cut, its ids and numbers of words (-2).
+    places = extended.where("not is_keys").select("chunk", F.col("bucket").alias("n"), "data")
     wanted = T.StructType([*fields.fields, *[T.StructField(n, t) for n, t in ADDED]]) if cut else T.StructType([fields[id_col], *[T.StructField(n, t) for n, t in ADDED]])
 
-    def mark(own: pa.Table, found: pa.Table) -> pa.Table:
-        """Marks the repeated words of a chunk's texts, and which of them go."""
+    def mark_and_cut(own: pa.Table, found: pa.Table) -> pa.Table:
         batch = _open(own.to_pylist()[0]["data"])
         bodies = batch.column("__body").to_pylist()
-        texts = Words(bodies)
-        order = np.array(batch.column("__order"))
+        return marked(batch, Layout(np.array([len(t.split()) for t in bodies], np.int64)), found.to_pylist(), bodies)
+
+    def mark(found: pa.Table) -> pa.Table:
         found = found.to_pylist()
-        here = unsqueeze(next(r["data"] for r in found if r["n"] < 0))
+        batch = _open(next(r["data"] for r in found if r["n"] == -2))
+        return marked(batch, Layout(np.array(batch.column("__words"), np.int64)), found, [])
+
+    def marked(batch: pa.RecordBatch, texts: Layout, found: list[dict], bodies: list[bytes]) -> pa.Table:
+        """Marks the repeated words of a chunk's texts, and which of them go."""
+        order = np.array(batch.column("__order"))
+        here = unsqueeze(next(r["data"] for r in found if r["n"] == -1))
         count = len(here) // 12
         window, hashes = np.frombuffer(here, np.int32, count).astype(np.int64), np.frombuffer(here, _U64, count, 4 * count)
         data = [(unsqueeze(r["data"]), r["n"]) for r in found if r["n"] >= 0]
@@ -280,13 +296,13 @@ def repeats(docs: DataFrame, least: int = LEAST, span: int = SPAN, id_col: str =
         goes = later | (holder < order[owner])
 
         def covered(some: np.ndarray) -> np.ndarray:
-            edge = np.zeros(len(texts.hashes) + 1, np.int64)
+            edge = np.zeros(len(texts.owner) + 1, np.int64)
             np.add.at(edge, some, 1)
             np.add.at(edge, some + least, -1)
             return np.cumsum(edge[:-1]) > 0
 
         repeated, removed = _spans_of(covered(window), texts), _spans_of(covered(window[goes]), texts)
-        holders: list[set] = [set() for _ in bodies]
+        holders: list[set] = [set() for _ in texts.lengths]
         pairs = np.unique(np.stack([owner[goes], holder[goes]], 1), axis=0) if goes.any() else np.empty((0, 2), np.int64)
         for o, h in pairs.tolist():
             holders[o].add(h)
@@ -301,7 +317,8 @@ def repeats(docs: DataFrame, least: int = LEAST, span: int = SPAN, id_col: str =
         cuts = pa.array([str(without(t, s), "utf-8", "replace") for t, s in zip(bodies, removed, strict=True)], pa.string()) if cut else None
         return pa.table([*[cuts if cut and c == text_col else batch.column(c) for c in kept], *added], wanted.names)
 
-    return plain.groupBy("key").cogroup(places.unionByName(copies).groupBy("chunk")).applyInArrow(mark, wanted)
+    told = places.unionByName(copies).groupBy("chunk")
+    return plain.groupBy("key").cogroup(told).applyInArrow(mark_and_cut, wanted) if cut else told.applyInArrow(mark, wanted)
 
 
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
