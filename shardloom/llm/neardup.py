@@ -173,14 +173,16 @@ class _Labels:
         return pa.table({"a": pa.array([a for a, _ in self.links], pa.int64()), "b": pa.array([b for _, b in self.links], pa.int64())})
 
 
-def maybe_linked(members: DataFrame, labelled: DataFrame, sketches: DataFrame, threshold: int, bins: int) -> DataFrame:
+def maybe_linked(members: DataFrame, labelled: DataFrame, star: DataFrame, sketches: DataFrame, threshold: int, bins: int) -> DataFrame:
     """Pairs of components (a, b) that members of one bucket, alike by their signatures, may link: a forest in each cell.
 
-    members(h, rep), labelled(rep, component). A bucket's strays are its members outside the component of the smallest
-    label there. Cells give one pair for each component that they join to another, so pairs grow with the members.
+    members(h, rep), labelled(rep, component), star(a, b). A bucket's strays are its members outside the component of the
+    smallest label there. Cells give one pair for each component that they join to another, so pairs grow with the
+    members. Only buckets of two whose pair is in the star are left out: that pair has been compared on full sets.
     """
     rows = members.join(labelled, "rep")
-    mains = rows.groupBy("h").agg(F.min("component").alias("main"), F.max("component").alias("other"), F.count(F.lit(1)).alias("k")).where("k > 2 and main <> other")
+    mains = rows.groupBy("h").agg(F.min("component").alias("main"), F.max("component").alias("other"), F.count(F.lit(1)).alias("k"), F.min("rep").alias("a"), F.max("rep").alias("b")).where("main <> other")
+    mains = mains.join(star.select("a", "b", F.lit(2).cast("long").alias("k")), ["a", "b", "k"], "left_anti")
     rows = rows.join(mains.select("h", "main"), "h").withColumn("stray", F.col("component") != F.col("main")).join(sketches, "rep")
 
     def run(rows: pa.Table) -> pa.Table:
@@ -268,7 +270,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, bands: int = BANDS, ro
     labels = stored(connected_components(links, "a", "b", folder), "near-labels")
     ours = stored(wanted.withColumnRenamed("node", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component")), "near-ours")
     sketches = about.select(F.col("node").alias("rep"), "n_shingles", "sketch").join(ours.select("rep"), "rep", "left_semi").dropDuplicates(["rep"])
-    maybe = stored(maybe_linked(members.select("h", "rep"), ours, sketches, threshold, bands * rows), "near-maybe")
+    maybe = stored(maybe_linked(members.select("h", "rep"), ours, star, sketches, threshold, bands * rows), "near-maybe")
     final = labels
     if not maybe.isEmpty():
         families = stored(connected_components(maybe, "a", "b", folder).select(F.col("node").alias("component"), F.col("component").alias("family")), "near-families")

@@ -73,6 +73,16 @@ def test_blocks_of_a_large_bucket(spark, monkeypatch):
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found), key=str) == brute_components(rows, 85)
 
 
+def test_chains_of_three(spark):
+    """Many chains a-b-c whose links are exactly at the threshold: a and c hold the first and the last 80 percent of b's shingles."""
+    rows = []
+    for i in range(300):
+        w = [f"c{i}w{j}" for j in range(204)]
+        rows += [(3 * i, " ".join(w)), (3 * i + 1, " ".join(w[:164])), (3 * i + 2, " ".join(w[40:]))]
+    found = near_duplicates(documents(spark, rows), 80).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in found) == [(i, i - i % 3) for i in range(900)]
+
+
 def test_no_documents(spark):
     assert near_duplicates(documents(spark, []), 80).count() == 0
     assert [r["component_id"] for r in near_duplicates(documents(spark, [(3, None), (2, "")]), 80).orderBy("doc_id").collect()] == [2, 3]
