@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import name_similarity
 from ..operators import stats, variants
-from ..operators.dedupe import matches, merged, with_components
+from ..operators.dedupe import matches, merged, with_blocks, with_components
 from ..operators.ordered import running_sum
 from ..operators.sections import header_ranges
 from ..sources.readers import read_parquet, tagged_union
@@ -282,6 +282,55 @@ def dedupe_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged(connected, first="first", last="last", street="street", city="city", zip_code="zip", least=("field",))
 
 
+# The same over whole columns of customers, by the surveyed block: postal code and one first letter of each name.
+_CUSTOMERS_SQL = """
+  SELECT c_custkey AS id, c_name AS first, c_mktsegment AS last, c_mktsegment AS city, CAST(c_nationkey AS VARCHAR) AS zip,
+         CAST(c_custkey AS VARCHAR) AS street, c_acctbal AS field
+  FROM customer"""
+_BLOCK_SQL = "a.city = b.city AND substr(a.first, 1, 2) = substr(b.first, 1, 2)"
+_SURVEYED_SQL = "TRY_CAST(a.zip AS INTEGER) = TRY_CAST(b.zip AS INTEGER) AND substr(a.first, 1, 1) = substr(b.first, 1, 1)"
+
+
+def _of_customers(sql: str) -> str:
+    return sql.replace(_PEOPLE_SQL, _CUSTOMERS_SQL).replace(_BLOCK_SQL, _SURVEYED_SQL)
+
+
+def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as records of people: names are whole columns, the address is the nation, the segment and the key."""
+    rows = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("id"), F.col("c_name").alias("first"), F.col("c_mktsegment").alias("last"), F.col("c_mktsegment").alias("city"),
+        F.col("c_nationkey").cast("string").alias("zip"), F.col("c_custkey").cast("string").alias("street"), F.col("c_acctbal").alias("field"),
+    )
+    return with_blocks(rows, "zip", "first", "last")
+
+
+SURVEYED = ("block_zip", "block_first", "block_last")
+
+
+@query(f"""
+WITH p AS (SELECT *, TRY_CAST(zip AS INTEGER) AS block FROM ({_CUSTOMERS_SQL}) WHERE first IS NOT NULL AND last IS NOT NULL),
+k AS (SELECT min(id) AS id, first, last, block, min(zip) AS zip FROM p WHERE block IS NOT NULL GROUP BY first, last, block),
+m AS ({_of_customers(_PAIRS_SQL).replace("FROM p a JOIN p b", "FROM k a JOIN k b")}),
+x AS (SELECT k.id AS l, p.id AS r FROM p JOIN k USING (first, last, block) WHERE p.id <> k.id)
+SELECT l AS "left", r AS "right" FROM m UNION ALL SELECT l, r FROM x
+""")
+def dedupe_customers_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matches(customers(spark, sf_dir), SURVEYED, NAMES)
+
+
+@query(_of_customers(SQL["dedupe_components"]))
+def dedupe_customers_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = customers(spark, sf_dir)
+    return with_components(rows, matches(rows, SURVEYED, NAMES)).select("id", "component")
+
+
+@query(_of_customers(SQL["dedupe_merge"]))
+def dedupe_customers_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = customers(spark, sf_dir)
+    connected = with_components(rows, matches(rows, SURVEYED, NAMES))
+    return merged(connected, first="first", last="last", street="street", city="city", zip_code="zip", least=("field",))
+
+
 @query("""
 SELECT 'supplier' AS source, s_nationkey AS nation, count(*) AS n, round(avg(s_acctbal), 6) AS mean FROM supplier GROUP BY s_nationkey
 UNION ALL
