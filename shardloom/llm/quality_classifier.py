@@ -22,8 +22,6 @@ from .lines import OWN, lines_of, with_neighbours
 
 #: Bounds of the labelled sample a model is fitted on: documents, and lines of any one of them.
 SAMPLE_DOCS, SAMPLE_LINES = 6_000, 60
-#: Lines per chain; longer texts are cut into chains of so many lines, which bounds a worker's arrays.
-CHAIN = 512
 
 
 @dataclass(frozen=True)
@@ -86,16 +84,9 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality") -> LineMode
     return LineModel(crf, scale, (sum(blank) + 0.2) / (len(blank) + 1))
 
 
-def chains(lengths: np.ndarray) -> np.ndarray:
-    """Lengths with those over CHAIN cut."""
-    if lengths.max(initial=0) <= CHAIN:
-        return lengths
-    return np.array([c for n in lengths.tolist() for c in ([CHAIN] * (n // CHAIN) + [n % CHAIN] * (n % CHAIN > 0) or [0])])
-
-
 def weighted_share(crf: Crf, x: np.ndarray, lengths: np.ndarray, words: np.ndarray) -> np.ndarray:
     """Per text with a line, the mean over its words of the marginal probability that their line is good."""
-    p = forward_backward(crf, x, chains(lengths))[0][:, 1]
+    p = forward_backward(crf, x, lengths)[0][:, 1]
     starts = (np.cumsum(lengths) - lengths)[lengths > 0]
     return np.add.reduceat(p * words, starts) / np.add.reduceat(words, starts)
 

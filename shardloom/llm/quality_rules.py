@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import SPACES, slices, table, utf8, windows
 from .crf import viterbi
 from .lines import SYMBOLS, lines_of, with_neighbours
-from .quality_classifier import LineModel, chains, fit
+from .quality_classifier import LineModel, fit
 
 #: A text is kept if at least this share of its words is in lines of content.
 CONTENT_SHARE = 0.5
@@ -52,7 +52,7 @@ def measure(model: LineModel, texts: list[bytes]) -> list[np.ndarray]:
     got = [lines_of(t) for t in texts]
     lengths = np.array([len(n) for _, n in got], np.int64)
     x = with_neighbours(np.concatenate([x for x, _ in got]).astype(np.float64), lengths)
-    content = viterbi(model.crf, x, chains(lengths)) * np.concatenate([n for _, n in got])
+    content = viterbi(model.crf, x, lengths) * np.concatenate([n for _, n in got])
     owner = np.repeat(np.arange(len(texts)), lengths)
     seen_at = 14  # place of "seen" among a line's features
     return [

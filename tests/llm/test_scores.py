@@ -10,8 +10,9 @@ import pytest
 from shardloom.llm.common import crc_fold
 from shardloom.llm.crf import Crf, forward_backward, train, viterbi
 from shardloom.llm.lm import lattice_scorer, pieces_of, score_documents
-from shardloom.llm.quality_classifier import fit, score_documents as quality_of
-from shardloom.llm.quality_rules import apply_rules
+from shardloom.llm.quality_classifier import LineModel, fit, score, score_documents as quality_of
+from shardloom.llm.lines import OWN, lines_of, with_neighbours
+from shardloom.llm.quality_rules import apply_rules, measure
 
 from .corpus import corpus, documents, saved, texts
 
@@ -178,3 +179,24 @@ def test_rules_count(spark):
     assert found == sorted(wanted)
     assert not out.where("kept and base_failed").count() and set(docs.columns) <= set(out.columns)
     assert apply_rules(documents(spark, []), model).count() == 0
+
+
+def test_long_texts_are_one_chain():
+    """Strong steps carry the first line's label past any number of lines; a cut would lose it."""
+    text = ("Good words end. " * 3 + "\n" + "12 34 ## 56\n" * 1300).encode()
+    x, n = lines_of(text)
+    r = np.random.default_rng(5)
+    crf = Crf(r.normal(size=(3 * len(OWN), 2)), np.array([[0.0, -9.0], [-9.0, 0.0]]))
+    rows, whole = with_neighbours(x.astype(np.float64), np.array([len(n)])), np.array([len(n)])
+    cut = np.array([512, 512, len(n) - 1024])
+    assert len(n) > 1200 and not np.allclose(forward_backward(crf, rows, cut)[0], forward_backward(crf, rows, whole)[0], atol=1e-12)
+    share = (forward_backward(crf, rows, whole)[0][:, 1] * n).sum() / n.sum()
+    good = np.clip(share, 1e-4, 1 - 1e-4)
+    assert np.isclose(score(LineModel(crf, np.array([0.0, 1.0]), 0.5), [text])[0], good, rtol=1e-9, atol=0)
+    # Labels of the last block hang on its own start if the chain is cut there.
+    swing = np.r_[3.0, np.zeros(len(n) - 1)]
+    held = Crf(np.array([[0.0, 1.0]]), np.array([[1.0, 0.0], [0.0, 1.0]]))
+    assert viterbi(held, swing[:, None], whole).sum() == len(n) and viterbi(held, swing[:, None], cut).sum() == 512
+    steady = Crf(np.zeros((3 * len(OWN), 2)), np.array([[1.0, 0.0], [0.0, 1.0]]))
+    steady.emit[OWN.index("stop")] = [0.0, 3.0]
+    assert measure(LineModel(steady, np.zeros(2), 0.5), [text])[5][0] == n.sum()
