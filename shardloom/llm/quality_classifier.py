@@ -13,15 +13,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import crc_fold, packed, slices, table, utf8
+from .common import crc_fold, packed, slices, stored, table, utf8
 from .crf import Crf, fit_logistic, forward_backward, train
 from .lines import OWN, lines_of, with_neighbours
 
-#: Bounds of the labelled sample a model is fitted on: documents, and lines of any one of them.
-SAMPLE_DOCS, SAMPLE_LINES = 6_000, 60
+#: Bounds of the labelled sample a model is fitted on: documents, and lines of all of them; documents are taken whole.
+SAMPLE_DOCS, SAMPLE_LINES = 6_000, 360_000
 
 
 @dataclass(frozen=True)
@@ -32,7 +32,10 @@ class LineModel:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, most: int = SAMPLE_DOCS) -> list[tuple[np.ndarray, np.ndarray, int]]:
-    """(features, words a line, label) of at most `most` labelled documents, those with the smallest hashes of their ids."""
+    """(features, words a line, label) of at most `most` labelled documents, those with the smallest hashes of their ids.
+
+    Each has all its lines. No document is taken after the one with which they come to SAMPLE_LINES.
+    """
     known = labels.where(F.col(target).isin(0, 1)).groupBy("doc_id").agg(F.max(target).cast("int").alias("y"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = docs.select("doc_id", utf8("text").alias("body")).join(F.broadcast(some), "doc_id").select("doc_id", "body", "y")
@@ -41,10 +44,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, most: int =
         for b in slices(batches, "body"):
             got = [lines_of(t) for t in b.column("body").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("y"), packed([x[:SAMPLE_LINES].tobytes() for x, _ in got]), packed([n[:SAMPLE_LINES].tobytes() for _, n in got])], ["doc_id", "y", "x", "n"]
+                [b.column("doc_id"), b.column("y"), pa.array([len(n) for _, n in got], pa.int64()), packed([x.tobytes() for x, _ in got]), packed([n.tobytes() for _, n in got])], ["doc_id", "y", "lines", "x", "n"]
             )
 
-    found = rows.mapInArrow(features, "doc_id bigint, y int, x binary, n binary").orderBy("doc_id").toArrow().to_pylist()
+    found = stored(rows.mapInArrow(features, "doc_id bigint, y int, lines bigint, x binary, n binary"), "labelled-sample")
+    each = found.groupBy("doc_id").agg(F.sum("lines").alias("lines"))
+    upto = F.sum("lines").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id")) - F.col("lines")
+    taken = each.withColumn("before", upto).where(F.col("before") < SAMPLE_LINES).select("doc_id")
+    found = found.join(F.broadcast(taken), "doc_id").select("doc_id", "y", "x", "n").orderBy("doc_id").toArrow().to_pylist()
     return [(np.frombuffer(r["x"], np.float32).reshape(-1, len(OWN)), np.frombuffer(r["n"], np.int64), r["y"]) for r in found]
 
 

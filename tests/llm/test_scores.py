@@ -8,9 +8,10 @@ import numpy as np
 import pytest
 
 from shardloom.llm.common import crc_fold
+from shardloom.llm import quality_classifier
 from shardloom.llm.crf import Crf, forward_backward, train, viterbi
 from shardloom.llm.lm import lattice_scorer, pieces_of, score_documents
-from shardloom.llm.quality_classifier import LineModel, fit, score, score_documents as quality_of
+from shardloom.llm.quality_classifier import LineModel, fit, labelled_sample, score, score_documents as quality_of
 from shardloom.llm.lines import OWN, lines_of, with_neighbours
 from shardloom.llm.quality_rules import apply_rules, measure
 
@@ -200,3 +201,13 @@ def test_long_texts_are_one_chain():
     steady = Crf(np.zeros((3 * len(OWN), 2)), np.array([[1.0, 0.0], [0.0, 1.0]]))
     steady.emit[OWN.index("stop")] = [0.0, 3.0]
     assert measure(LineModel(steady, np.zeros(2), 0.5), [text])[5][0] == n.sum()
+
+
+def test_sampled_documents_are_whole(spark, monkeypatch):
+    texts_of = {i: "\n".join(f"line {j} of {i}" for j in range(n)) for i, n in enumerate([100, 7, 61, 0, 300])}
+    docs = documents(spark, list(texts_of.items())).select("doc_id", "text")
+    labels = spark.createDataFrame([(i, i % 2) for i in texts_of], "doc_id long, quality int")
+    sample = labelled_sample(docs, labels, "quality")
+    assert [len(n) for _, n, _ in sample] == [len(x) for x, _, _ in sample] == [100, 7, 61, 0, 300] and [y for _, _, y in sample] == [0, 1, 0, 1, 0]
+    monkeypatch.setattr(quality_classifier, "SAMPLE_LINES", 1)
+    assert 0 < len(few := labelled_sample(docs, labels, "quality")) < 5 and all(len(n) in (100, 7, 61, 0, 300) for _, n, _ in few)
