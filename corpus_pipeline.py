@@ -33,7 +33,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = near_duplicates(docs, SIMILAR).where("kept")
     # Texts without a word form no group; each such row is its own.
     alone = found.where("n_shingles = 0").select("node")
-    one = found.where("n_shingles > 0").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("node"))).agg(F.min("node").alias("node")).select("node")
+    one = found.where("n_shingles > 0").groupBy("component").agg(F.min("node").alias("node")).select("node")
     keep = stored(one.unionByName(alone).distinct(), "kept-nodes")
     marked = docs.withColumn("__node", F.xxhash64("doc_id", utf8("text")))
     return marked.join(keep.withColumnRenamed("node", "__node"), "__node", "left_semi").dropDuplicates(["__node"]).drop("__node").select(*docs.columns)

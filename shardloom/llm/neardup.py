@@ -237,14 +237,15 @@ def links_within(families: DataFrame, labelled: DataFrame, texts: DataFrame, thr
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, node, n_shingles, component_id, kept: one row per row of docs.
+    """doc_id, node, n_shingles, component, component_id, kept: one row per row of docs.
 
     Documents are linked if 100 * intersection >= threshold * union of their shingle sets; component_id is the smallest
     doc_id that links reach, and kept says that it is the document's own. Texts that are null or without words have no
     shingles and are linked with nothing. Repeated rows are linked as copies, and rows that repeat an id with another
     text are documents of their own with the same id. A null id takes part, but is never the smallest; without another
     one its component_id is null and it is kept. An empty table gives an empty result; other columns are ignored.
-    node is a hash of id and text, to join the result to docs by.
+    node is a hash of id and text, to join the result to docs by. component tells components apart whose ids are equal or
+    null: it is the node of a member, and null for texts without shingles.
     """
     spark = docs.sparkSession
     about = stored(described(docs, bands, rows, id_col, text_col), "near-signatures")
@@ -280,10 +281,10 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, bands: int = BANDS, ro
             final = stored(connected_components(between, "a", "b", folder), "near-components")
     labelled = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", "doc_id", F.coalesce("component", "rep").alias("component"))
     least = labelled.groupBy("component").agg(F.min("doc_id").alias("least"))
-    of_set = labelled.join(least, "component").select("set_id", "least")
+    of_set = labelled.join(least, "component").select("set_id", "component", "least")
     out = about.select("doc_id", "node", "n_shingles", "set_id").join(of_set, "set_id", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "node", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    least_id = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "node", "n_shingles", "component", least_id.alias("component_id"), F.col("doc_id").eqNullSafe(least_id).alias("kept"))
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

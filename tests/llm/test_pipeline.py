@@ -49,6 +49,16 @@ def test_stages(spark, folder):
     assert stages["bpe"](spark, docs, folder).count() == len(after)
 
 
+def test_near_dedup_with_repeated_and_null_ids(spark):
+    every = texts(30, 9, 300)[0]
+    a, b, c = (" ".join(every[i::3]) for i in range(3))
+    near = lambda t: t.replace(t.split()[len(t.split()) // 2], "other", 1)
+    rows = [(1, a), (1, b), (5, near(a)), (6, near(b)), (None, c), (None, near(c)), (None, c)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], SCHEMA)
+    after = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    assert len(after) == 3 and {(1, a), (1, b)} < set(after) and [t in (c, near(c)) for i, t in after if i is None] == [True]
+
+
 def test_run(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     assert out.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"] and out.count() > 0
