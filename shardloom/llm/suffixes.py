@@ -1,12 +1,16 @@
 """Repeated passages by sparse suffix arrays.
 
-Of a text's suffixes (by word) only those are retained that start at content-selected minimiser positions: places
-whose span of SPAN words has the smallest hash among the spans of some window of `least` words. Any two copies of a
-passage of `least` words retain the same suffixes, whatever stands around them. Retained suffixes are sorted by their
-leading span, bucket by bucket, and neighbours are compared: a span that stands alone is no copy of anything. Around
-those that have an equal neighbour, the match is extended left and right to all windows of `least` words whose
-minimiser it is; windows are compared by 64-bit hashes, again sorted by bucket, and each copy learns the smallest
-document that holds it. Sent are retained spans and windows of spans with neighbours, never all suffixes.
+Of a text's suffixes (by word) only those are retained that start at content-selected minimiser positions: the place,
+for each window of `least` words, at which its span of `span` words with the smallest hash begins first. Any two copies
+of a window retain the same suffix, whatever stands around them. Retained suffixes are first counted by their leading
+span, bucket by bucket: one whose span stands alone is no copy of anything. The others go on with their words, those
+of all windows that they are the minimiser of: up to `least - span` words on the left and `least` on the right. In a
+bucket they are sorted by their words from the retained place on, and each is compared with its neighbour: the words
+that two neighbours have in common tell which suffixes match, and how far to the right; the same sort of the words on the left tells how far matches extend to the left. So windows
+are compared word by word (a word being its 64-bit hash), and each copy learns the first document that has it.
+
+Suffixes of one chunk with the same words are one record. A span with more than HOT occurrences is dealt to several
+buckets, by its windows: each window then is a record of its own, one for each chunk that has it.
 """
 
 from __future__ import annotations
@@ -22,11 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chunks import BUCKET_BYTES, squeeze, unsqueeze
-from .common import slices, stored, table, utf8, windows
+from .chunks import BUCKET_BYTES, pack, squeeze, unpack, unsqueeze
+from .common import mixed, slices, stored, table, utf8, windows
 
 #: Fewest words of a repeated passage, and words of a minimiser's span.
 LEAST, SPAN = 50, 20
+#: Occurrences from which on a span is dealt to several buckets.
+HOT = 10_000
 _U64 = np.uint64
 _NO_DOC = np.iinfo(np.int64).max
 
@@ -42,58 +48,152 @@ class Layout:
 
 
 class Words(Layout):
-    """The same with the hashes of the words."""
+    """The same with the words: numbers into the chunk's distinct words, and hashes."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, lengths: np.ndarray, ids: np.ndarray, of_id: np.ndarray):
+        super().__init__(lengths)
+        self.ids, self.of_id = ids, of_id
+        self.hashes = of_id[ids]
+
+    @classmethod
+    def split(cls, texts: list[bytes]) -> Words:
         split = [t.split() for t in texts]
-        super().__init__(np.array([len(s) for s in split], np.int64))
-        distinct = dict.fromkeys(chain.from_iterable(split))
-        of = {w: xxhash.xxh3_64_intdigest(w) for w in distinct}
-        self.hashes = np.fromiter(map(of.__getitem__, chain.from_iterable(split)), _U64, int(self.lengths.sum()))
+        lengths = np.array([len(s) for s in split], np.int64)
+        distinct = list(dict.fromkeys(chain.from_iterable(split)))
+        place = dict(zip(distinct, range(len(distinct)), strict=True))
+        ids = np.fromiter(map(place.__getitem__, chain.from_iterable(split)), np.int64, int(lengths.sum()))
+        # Frequent words get small numbers, which pack well.
+        order = np.argsort(-np.bincount(ids, minlength=len(distinct)), kind="stable")
+        rank = np.empty(len(distinct), np.int64)
+        rank[order] = np.arange(len(distinct))
+        return cls(lengths, rank[ids], np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), _U64, len(distinct))[order])
 
     def inside(self, width: int) -> np.ndarray:
         """Places at which `width` words of one text begin."""
-        n = max(0, len(self.hashes) - width + 1)
+        n = max(0, len(self.ids) - width + 1)
         return self.owner[:n] == self.owner[width - 1 :][:n] if n else np.zeros(0, bool)
 
 
-def _sliding(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
-    """The least or greatest of each `width` neighbours."""
-    have, y = 1, x
-    while 2 * have <= width:
-        y = best(y[:-have], y[have:])
-        have *= 2
-    rest = width - have
-    return best(y[: len(y) - rest], y[rest:]) if rest else y
+def _first_least(x: np.ndarray, width: int) -> np.ndarray:
+    """The place of the first least of each `width` neighbours."""
+    y, at, have = x, np.arange(len(x)), 1
+    while have < width:
+        step = min(have, width - have)
+        less = y[step:] < y[:-step]
+        y, at = np.where(less, y[step:], y[:-step]), np.where(less, at[step:], at[:-step])
+        have += step
+    return at
 
 
-def minimisers(words: Words, least: int, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(windows' first words, their minimisers' hashes, hashes at all retained places) of the windows of `least` words."""
-    spans = windows(words.hashes, span)
+def minimisers(words: Words, least: int, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Retained places by rising place: (first window, last window, place, span's hash); windows go by their first word."""
     window = np.flatnonzero(words.inside(least))
     if not len(window):
-        return window, np.empty(0, _U64), np.empty(0, _U64)
-    width = least - span + 1
-    smallest = _sliding(spans, width, np.minimum)
-    # A place is retained if its span is the smallest of some window around it: the greatest of those windows' minima.
-    low = np.zeros(len(spans) + width - 1, _U64)
-    held = np.zeros(len(smallest), _U64)
-    held[window] = smallest[window]
-    low[width - 1 : width - 1 + len(held)] = held
-    kept = _sliding(low, width, np.maximum)[: len(spans)] == spans
-    covered = np.zeros(len(spans) + 1, np.int64)
-    np.add.at(covered, window, 1)
-    np.add.at(covered, np.minimum(window + width, len(spans)), -1)
-    kept &= np.cumsum(covered[:-1]) > 0
-    return window, smallest[window], spans[kept]
-
-
-def _in_buckets(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
-    """Runs of sorted keys that fall in one bucket, buckets being equal ranges of keys."""
-    of = ((keys >> _U64(32)) * _U64(buckets)) >> _U64(32)
-    edges = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.empty(0, np.int64)
-    for s, e in zip(edges.tolist(), [*edges[1:].tolist(), len(of)], strict=False):
-        yield int(of[s]), slice(s, e)
+        return window, window, window, np.empty(0, _U64)
+    spans = windows(words.hashes, span)
+    place = _first_least(spans, least - span + 1)[window]
+    starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+    last = np.r_[starts[1:], len(place)] - 1
+    return window[starts], window[last], place[starts], spans[place[starts]]
+
+
+def _buckets(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Each key's bucket. Keys are mixed first, as the hashes of minimisers are small ones."""
+    return (((mixed(keys) >> _U64(32)) * _U64(buckets)) >> _U64(32)).astype(np.int64)
+
+
+def _runs(sorted_values: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """(value, where it stands) of each run of equal values."""
+    edges = np.flatnonzero(np.r_[True, sorted_values[1:] != sorted_values[:-1]]) if len(sorted_values) else np.empty(0, np.int64)
+    for s, e in zip(edges.tolist(), [*edges[1:].tolist(), len(sorted_values)], strict=False):
+        yield int(sorted_values[s]), slice(s, e)
+
+
+def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for as many as each count says, one after another."""
+    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+
+
+def _rows_sorted(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the rows by their words, words that each has in common with the one before; 0 for the first)."""
+    rows = np.ascontiguousarray(rows)
+    order = np.argsort(rows.view(f"V{rows.itemsize * rows.shape[1]}").ravel(), kind="stable")
+    by = rows[order]
+    same = by[1:] == by[:-1]
+    return order, np.r_[0, np.where(same.all(1), rows.shape[1], same.argmin(1))][: len(rows)]
+
+
+def _classes(order: np.ndarray, common: np.ndarray, depth: int) -> np.ndarray:
+    """For each row, the number of the run of sorted rows that share their first `depth` words."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(np.r_[False, common[1:] < depth][: len(order)])
+    return out
+
+
+class Records:
+    """Retained suffixes with the words of their windows: the words left of the place, and the windows they have.
+
+    left: words before the place; n: windows, the first of which begins `left` words before it; twice: whether the
+    chunk has the record more than once; doc: the first document that has it; words: all records' words in a row.
+    """
+
+    def __init__(self, left: np.ndarray, n: np.ndarray, twice: np.ndarray, doc: np.ndarray, words: np.ndarray, least: int):
+        self.left, self.n, self.twice, self.doc, self.words = left, n, twice, doc, words
+        self.sizes = n + least - 1
+
+    def packed(self, of_id: np.ndarray) -> tuple[bytes, bytes, bytes, bytes]:
+        ids, at = np.unique(self.words, return_inverse=True)
+        return pack(np.concatenate([self.left, self.n, self.twice])), pack(self.doc), pack(at), of_id[ids].tobytes()
+
+    @classmethod
+    def joined(cls, rows: list[dict], least: int) -> Records:
+        """The records of several chunks; words become numbers that hold for all of them."""
+        parts, docs, words, seen, known = [], [], [], [], 0
+        for r in rows:
+            parts.append(unpack(r["a"]).reshape(3, -1))
+            docs.append(unpack(r["b"]))
+            words.append(unpack(r["c"]) + known)
+            seen.append(np.frombuffer(r["d"], _U64))
+            known += len(seen[-1])
+        number = np.unique(np.concatenate(seen), return_inverse=True)[1].astype(np.int32)
+        left, n, twice = np.concatenate(parts, 1)
+        return cls(left, n, twice.astype(bool), np.concatenate(docs), number[np.concatenate(words)], least)
+
+    def sides(self, least: int, span: int) -> tuple[np.ndarray, np.ndarray]:
+        """The words from the place on, and those before it from the nearest on; -1 where a record has none."""
+        starts = np.cumsum(self.sizes) - self.sizes
+        owner, at = np.repeat(np.arange(len(self.n)), self.sizes), np.arange(len(self.words)) - np.repeat(starts + self.left, self.sizes)
+        right, before = np.full((len(self.n), least), -1, np.int32), np.full((len(self.n), max(1, least - span)), -1, np.int32)
+        on = at >= 0
+        right[owner[on], at[on]] = self.words[on]
+        before[owner[~on], -1 - at[~on]] = self.words[~on]
+        return right, before
+
+
+def matched(records: Records, least: int, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each window of each record: (whether another has its words, the first document that does, a number for the words).
+
+    Suffixes are sorted by their words and compared with their neighbours, to the right and to the left. A window that
+    begins `a` words before the place matches where least - a words on the right and a on the left are the same.
+    """
+    right, before = (_rows_sorted(side) for side in records.sides(least, span))
+    total, offset = int(records.n.sum()), np.cumsum(records.n) - records.n
+    again, first, number, given = np.zeros(total, bool), np.full(total, _NO_DOC), np.zeros(total, np.int64), 0
+    for a in range(least - span + 1):
+        some = np.flatnonzero((a <= records.left) & (a > records.left - records.n))
+        if not len(some):
+            continue
+        key = _classes(*right, least - a)[some] * len(records.n) + _classes(*before, a)[some]
+        order = np.argsort(key, kind="stable")
+        starts = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
+        runs = np.diff(np.r_[starts, len(order)])
+        by = some[order]
+        at = offset[by] + records.left[by] - a
+        again[at] = np.repeat((runs > 1) | np.logical_or.reduceat(records.twice[by], starts), runs)
+        first[at] = np.repeat(np.minimum.reduceat(records.doc[by], starts), runs)
+        number[at] = np.repeat(np.arange(len(starts)) + given, runs)
+        given += len(starts)
+    return again, first, number
 
 
 def _ipc(batch: pa.RecordBatch) -> bytes:
@@ -144,6 +244,26 @@ SPANS = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.Str
 ADDED = (("n_words", T.LongType()), ("n_repeated", T.LongType()), ("n_removed", T.LongType()), ("repeated", SPANS), ("removed", SPANS), ("kept_in", T.ArrayType(T.LongType())))
 
 
+#: What is sent: kind is one of the letters below; key is the chunk or, as its complement, the bucket that a row is for.
+EXCHANGE = "key bigint, kind string, chunk bigint, bucket bigint, n bigint, a binary, b binary, c binary, d binary"
+_KINDS = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
+_NAMES = [f.split()[0] for f in EXCHANGE.split(", ")]
+#: Words of a chunk, its spans, its rows as they came, its records, where its windows stand, what is known of its windows.
+WORDS, SPANS_IN, ROWS, RECORDS, PLACES, FOUND = "words", "spans", "rows", "records", "places", "found"
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(_KINDS)], _NAMES)
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_batches([_batch(rows)])
+
+
+def _of(rows: list[dict], kind: str) -> list[dict]:
+    return [r for r in rows if r["kind"] == kind]
+
+
 def repeats(docs: DataFrame, least: int = LEAST, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text", cut: bool = False) -> DataFrame:
     """docs (or with cut=False its ids alone) with what of each text stands elsewhere in the corpus.
 
@@ -154,145 +274,143 @@ def repeats(docs: DataFrame, least: int = LEAST, span: int = SPAN, id_col: str =
 
     Words are what ASCII white space separates, compared as they are. Null text has no words; texts of fewer than
     `least` words have no windows. Rows that repeat an id count as one document: none loses a passage to the other. A
-    null id comes after all others. Columns of docs named like the ones added are replaced. An empty table gives an
-    empty result. Documents must be read in the same order if an executor is lost, as from files.
+    null id comes after all others. Columns of docs named like the ones added are replaced; other names can't clash. An
+    empty table gives an empty result. Chunks are stored, so later steps don't depend on the order of docs' rows.
     """
     docs = docs.drop(*[n for n, _ in ADDED])
     docs = docs if cut else docs.select(id_col, text_col)
     size = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
-    fields = docs.schema
-    rows = docs.withColumns({"__body": utf8(text_col), "__order": F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_DOC))})
-    if not cut:
-        rows = rows.drop(text_col)
-    elif text_col in rows.columns:
-        rows = rows.withColumn(text_col, F.lit(None).cast("string"))
-    exchange = "key bigint, is_keys boolean, chunk bigint, bucket bigint, n bigint, data binary"
-    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-
-    def as_batch(out: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["key", "is_keys", "chunk", "bucket", "n", "data"])
+    given = docs.schema.fields if cut else [docs.schema[id_col]]
+    text_at = [f.name for f in given].index(text_col) if cut else None
+    # The rows as they came, without the text, which is in body.
+    carried = F.struct(*[F.lit(None).cast("string").alias("text") if i == text_at else F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(given)])
+    rows = docs.select(carried.alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_DOC)).alias("order"), utf8(text_col).alias("body"))
 
     def retain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Chunks, and the sorted distinct hashes of their retained spans, with whether a chunk has them twice."""
+        """Chunks, and the hashes of their retained spans with how often they have them."""
         number = TaskContext.get().partitionId() << 32
-        for batch in slices(batches, "__body"):
+        for batch in slices(batches, "body"):
             number += 1
-            words = Words(batch.column("__body").to_pylist())
-            keys, times = np.unique(minimisers(words, least, span)[2], return_counts=True)
-            out = [(number, False, number, -1, batch.num_rows, _ipc(batch))]
-            for bucket, at in _in_buckets(keys, buckets):
-                twice = np.packbits(times[at] > 1).tobytes()
-                out.append((~bucket, True, number, bucket, at.stop - at.start, keys[at].tobytes() + twice))
-            yield as_batch(out)
-
-    chunks = stored(rows.mapInArrow(retain, exchange), "suffix-chunks")
-
-    def neighbours(rows: pa.Table) -> pa.Table:
-        """Tells each chunk which of its spans have an equal neighbour."""
+            words = Words.split(batch.column("body").to_pylist())
+            keys, times = np.unique(minimisers(words, least, span)[3], return_counts=True)
+            order = np.array(batch.column("order"))
+            out = [(number, WORDS, number, -1, batch.num_rows, pack(words.lengths), pack(words.ids), words.of_id.tobytes(), pack(order))]
+            out.append((number, ROWS, number, -1, batch.num_rows, _ipc(batch if cut else batch.select(["row", "order"])), pack(words.lengths), b"", b""))
+            of = _buckets(keys, buckets)
+            by = np.argsort(of, kind="stable")
+            for bucket, at in _runs(of[by]):
+                some = by[at]
+                out.append((~bucket, SPANS_IN, number, bucket, len(some), keys[some].tobytes(), pack(times[some]), b"", b""))
+            yield _batch(out)
+
+    chunks = stored(rows.mapInArrow(retain, EXCHANGE), "suffix-chunks")
+
+    def counted(rows: pa.Table) -> pa.Table:
+        """Tells each chunk which of its spans occur elsewhere too, and which of them are hot."""
         rows = rows.to_pylist()
-        keys = [np.frombuffer(r["data"], _U64, r["n"]) for r in rows]
-        twice = np.concatenate([np.unpackbits(np.frombuffer(r["data"], np.uint8, offset=8 * r["n"]), count=r["n"]).astype(bool) for r in rows])
-        every = np.concatenate(keys)
-        order = np.argsort(every, kind="stable")
-        same = every[order][1:] == every[order][:-1]
-        live = np.zeros(len(every), bool)
-        live[order] = np.r_[same, False] | np.r_[False, same]
-        live |= twice
-        edges = np.cumsum([len(k) for k in keys])[:-1]
-        data = [k[m].tobytes() for k, m in zip(keys, np.split(live, edges), strict=True)]
-        keep = [i for i, d in enumerate(data) if d]
-        return pa.table({"chunk": pa.array([rows[i]["chunk"] for i in keep], pa.int64()), "data": pa.array([data[i] for i in keep], pa.binary())})
-
-    live = chunks.where("is_keys").groupBy("key").applyInArrow(neighbours, "chunk bigint, data binary")
-
-    def live_windows(texts: Words, found: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        """First words of the windows whose minimiser has a neighbour, and the windows' hashes."""
-        window, low, _ = minimisers(texts, least, span)
-        alive = [np.frombuffer(d, _U64) for d in found.column("data").to_pylist()]
-        if not alive or not len(window):
-            return window[:0], np.empty(0, _U64)
-        window = window[np.isin(low, np.concatenate(alive))]
-        return window, windows(texts.hashes, least)[window]
+        every = np.concatenate([np.frombuffer(r["a"], _U64) for r in rows])
+        keys, at = np.unique(every, return_inverse=True)
+        total = np.bincount(at, np.concatenate([unpack(r["b"]) for r in rows]), len(keys))[at]
+        ends = np.cumsum([r["n"] for r in rows])
+        out = []
+        for r, e in zip(rows, ends.tolist(), strict=True):
+            own, n = every[e - r["n"] : e], total[e - r["n"] : e]
+            if (n > 1).any():
+                out.append((r["chunk"], FOUND, r["chunk"], r["bucket"], int((n > 1).sum()), own[n > 1].tobytes(), pack(n[n > 1] > HOT), b"", b""))
+        return _table(out)
+
+    live = chunks.where(F.col("kind") == SPANS_IN).groupBy("key").applyInArrow(counted, EXCHANGE)
 
     def extend(own: pa.Table, found: pa.Table) -> pa.Table:
-        """Hashes of live windows, each with the first document of the chunk that has it and whether it has two."""
-        own = own.to_pylist()[0]
-        batch = _open(own["data"])
-        texts = Words(batch.column("__body").to_pylist())
-        window, hashes = live_windows(texts, found)
-        order = np.array(batch.column("__order"))[texts.owner[window]] if len(window) else np.empty(0, np.int64)
-        by = np.lexsort((order, hashes))
-        first = np.flatnonzero(np.r_[True, hashes[by][1:] != hashes[by][:-1]][: len(by)])
-        keys, docs_of, times = hashes[by][first], order[by][first], np.diff(np.r_[first, len(by)])
-        out = [(own["chunk"], False, own["chunk"], -1, own["n"], squeeze(window.astype(np.int32).tobytes() + hashes.tobytes()))]
-        if not cut:
-            slim = pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("__order"), pa.array(texts.lengths)], [id_col, "__order", "__words"])
-            out.append((own["chunk"], False, own["chunk"], -2, own["n"], _ipc(slim)))
-        for bucket, at in _in_buckets(keys, buckets):
-            body = keys[at].tobytes() + docs_of[at].tobytes() + np.packbits(times[at] > 1).tobytes()
-            out.append((~bucket, True, own["chunk"], bucket, at.stop - at.start, body))
-        return pa.Table.from_batches([as_batch(out)])
-
-    plain = chunks.where("not is_keys")
-    extended = stored(plain.groupBy("key").cogroup(live.groupBy("chunk")).applyInArrow(extend, exchange), "suffix-windows")
-
-    def first_copies(rows: pa.Table) -> pa.Table:
-        """Tells each chunk the windows that are repeated, and the smallest document that has each."""
-        rows = rows.to_pylist()
-        n = [r["n"] for r in rows]
-        keys = np.concatenate([np.frombuffer(r["data"], _U64, r["n"]) for r in rows])
-        docs_of = np.concatenate([np.frombuffer(r["data"], np.int64, r["n"], 8 * r["n"]) for r in rows])
-        twice = np.concatenate([np.unpackbits(np.frombuffer(r["data"], np.uint8, offset=16 * r["n"]), count=r["n"]) for r in rows])
-        order = np.argsort(keys, kind="stable")
-        starts = np.flatnonzero(np.r_[True, keys[order][1:] != keys[order][:-1]])
-        runs = np.diff(np.r_[starts, len(order)])
-        least_doc = np.repeat(np.minimum.reduceat(docs_of[order], starts), runs)
-        again = np.repeat((runs > 1) | (np.maximum.reduceat(twice[order], starts) > 0), runs)
-        doc, rep = np.empty(len(keys), np.int64), np.empty(len(keys), bool)
-        doc[order], rep[order] = least_doc, again
-        ends, out = np.cumsum(n), []
-        for r, e in zip(rows, ends.tolist(), strict=True):
-            at = np.flatnonzero(rep[e - r["n"] : e]) + e - r["n"]
-            if len(at):
-                out.append((r["chunk"], len(at), squeeze(keys[at].tobytes() + doc[at].tobytes())))
-        return pa.table([pa.array([o[i] for o in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["chunk", "n", "data"])
-
-    copies = extended.where("is_keys").groupBy("key").applyInArrow(first_copies, "chunk bigint, n bigint, data binary")
-    # What a chunk's live windows are (-1), and, if no text is to be cut, its ids and numbers of words (-2).
-    places = extended.where("not is_keys").select("chunk", F.col("bucket").alias("n"), "data")
-    wanted = T.StructType([*fields.fields, *[T.StructField(n, t) for n, t in ADDED]]) if cut else T.StructType([fields[id_col], *[T.StructField(n, t) for n, t in ADDED]])
-
-    def mark_and_cut(own: pa.Table, found: pa.Table) -> pa.Table:
-        batch = _open(own.to_pylist()[0]["data"])
-        bodies = batch.column("__body").to_pylist()
-        return marked(batch, Layout(np.array([len(t.split()) for t in bodies], np.int64)), found.to_pylist(), bodies)
-
-    def mark(found: pa.Table) -> pa.Table:
+        """The records of a chunk's live suffixes, and where its windows stand."""
+        r = own.to_pylist()[0]
+        words, order = Words(unpack(r["a"]), unpack(r["b"]), np.frombuffer(r["c"], _U64)), unpack(r["d"])
+        first, last, place, key = minimisers(words, least, span)
         found = found.to_pylist()
-        batch = _open(next(r["data"] for r in found if r["n"] == -2))
-        return marked(batch, Layout(np.array(batch.column("__words"), np.int64)), found, [])
-
-    def marked(batch: pa.RecordBatch, texts: Layout, found: list[dict], bodies: list[bytes]) -> pa.Table:
+        alive = np.concatenate([np.frombuffer(f["a"], _U64) for f in found] or [np.empty(0, _U64)])
+        hot = alive[np.concatenate([unpack(f["b"]) for f in found] or [np.empty(0, np.int64)]) > 0]
+        some = np.isin(key, alive)
+        first, last, place, key = first[some], last[some], place[some], key[some]
+        if len(hot) and len(key):
+            # Each window of a hot span by itself, keyed by its own words.
+            split = np.isin(key, hot)
+            n = (last - first + 1)[split]
+            one, at = _spread(first[split], n), np.repeat(place[split], n)
+            first, last, place = (np.concatenate([x[~split], y]) for x, y in ((first, one), (last, one), (place, at)))
+            key = np.concatenate([key[~split], windows(words.hashes, least)[one]])
+        left, n = place - first, last - first + 1
+        bucket = _buckets(key, buckets)
+        # Suffixes with the same words and windows are one record.
+        wide = np.full((len(first), 2 * least - span + 3), -1, np.int32)
+        wide[:, 0], wide[:, 1], wide[:, 2] = bucket, left, n
+        sizes = n + least - 1
+        if len(first):
+            wide[np.repeat(np.arange(len(first)), sizes), 3 + _spread(np.zeros_like(sizes), sizes)] = words.ids[_spread(first, sizes)]
+        by, common = _rows_sorted(wide)
+        new = common < wide.shape[1]
+        if len(new):
+            new[0] = True
+        # Records by bucket; sorted rows with the same words stand together.
+        starts = np.flatnonzero(new)
+        times = np.diff(np.r_[starts, len(by)])
+        turn = np.argsort(bucket[by[starts]], kind="stable")
+        record = np.empty(len(first), np.int64)
+        rank = np.empty(len(starts), np.int64)
+        rank[turn] = np.arange(len(starts))
+        record[by] = np.repeat(rank, times)
+        chosen, twice = by[starts[turn]], times[turn] > 1
+        doc_of = order[words.owner[first]] if len(first) else np.empty(0, np.int64)
+        doc = np.minimum.reduceat(doc_of[by], starts)[turn] if len(starts) else doc_of
+        out = [(r["chunk"], PLACES, r["chunk"], -1, len(first), pack(first), pack(record), pack(n[chosen]), b"")]
+        for b, at in _runs(bucket[chosen]):
+            c = chosen[at]
+            ids = words.ids[_spread(first[c], sizes[c])]
+            out.append((~b, RECORDS, r["chunk"], b, len(c), *Records(left[c], n[c], twice[at], doc[at], ids, least).packed(words.of_id)))
+        return _table(out)
+
+    plain = chunks.where(F.col("kind") == WORDS)
+    extended = stored(plain.groupBy("key").cogroup(live.groupBy("key")).applyInArrow(extend, EXCHANGE), "suffix-records")
+
+    def compare(rows: pa.Table) -> pa.Table:
+        """Tells each chunk which windows of its records other suffixes have too, and which document is the first."""
+        rows = sorted(rows.to_pylist(), key=lambda r: r["chunk"])
+        records = Records.joined(rows, least)
+        again, first, number = matched(records, least, span)
+        ends = np.cumsum(records.n)[np.cumsum([r["n"] for r in rows]) - 1]
+        out = []
+        for r, s, e in zip(rows, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            at = np.flatnonzero(again[s:e]) + s
+            out.append((r["chunk"], FOUND, r["chunk"], r["bucket"], e - s, squeeze(np.packbits(again[s:e]).tobytes()), pack(first[at]), pack(number[at]), b""))
+        return _table(out)
+
+    found = extended.where(F.col("kind") == RECORDS).groupBy("key").applyInArrow(compare, EXCHANGE)
+    wanted = T.StructType([*given, *[T.StructField(n, t) for n, t in ADDED]])
+
+    def mark(own: pa.Table, found: pa.Table) -> pa.Table:
         """Marks the repeated words of a chunk's texts, and which of them go."""
-        order = np.array(batch.column("__order"))
-        here = unsqueeze(next(r["data"] for r in found if r["n"] == -1))
-        count = len(here) // 12
-        window, hashes = np.frombuffer(here, np.int32, count).astype(np.int64), np.frombuffer(here, _U64, count, 4 * count)
-        data = [(unsqueeze(r["data"]), r["n"]) for r in found if r["n"] >= 0]
-        keys = np.concatenate([np.frombuffer(d, _U64, n) for d, n in data] or [np.empty(0, _U64)])
-        docs_of = np.concatenate([np.frombuffer(d, np.int64, n, 8 * n) for d, n in data] or [np.empty(0, np.int64)])
-        by = np.argsort(keys, kind="stable")
-        at = np.searchsorted(keys[by], hashes)
-        at = np.minimum(at, max(0, len(keys) - 1))
-        known = keys[by][at] == hashes if len(keys) else np.zeros(len(hashes), bool)
-        window, hashes, holder = window[known], hashes[known], docs_of[by][at[known]] if len(keys) else docs_of
-        owner = texts.owner[window]
-        # An earlier copy in the same text: the first window of each (text, hash) stays.
-        sorted_by = np.lexsort((window, hashes, owner))
-        same = (owner[sorted_by][1:] == owner[sorted_by][:-1]) & (hashes[sorted_by][1:] == hashes[sorted_by][:-1])
+        own, found = own.to_pylist()[0], found.to_pylist()
+        batch, texts = _open(own["a"]), Layout(unpack(own["b"]))
+        places, order = _of(found, PLACES)[0], np.array(batch.column("order"))
+        first, record, n = (unpack(places[c]) for c in "abc")
+        known = sorted(_of(found, FOUND), key=lambda r: r["bucket"])
+        total = int(n.sum())
+        again = np.concatenate([np.unpackbits(np.frombuffer(unsqueeze(r["a"]), np.uint8), count=r["n"]) for r in known] or [np.empty(0, np.uint8)]).astype(bool)
+        if len(again) != total:
+            raise RuntimeError("a chunk's records and what was found for them don't match")
+        holders, number = np.full(total, _NO_DOC), np.zeros(total, np.int64)
+        holders[again] = np.concatenate([unpack(r["b"]) for r in known] or [np.empty(0, np.int64)])
+        number[again] = np.concatenate([unpack(r["c"]) + (r["bucket"] << 32) for r in known] or [np.empty(0, np.int64)])
+        counts = n[record]
+        at = _spread((np.cumsum(n) - n)[record], counts)
+        window = _spread(first, counts)[again[at]]
+        at = at[again[at]]
+        holder, number, owner = holders[at], number[at], texts.owner[window]
+        # An earlier copy in the same text: the first window of each (text, words) stays.
+        by = np.lexsort((window, number, owner))
+        same = (owner[by][1:] == owner[by][:-1]) & (number[by][1:] == number[by][:-1])
         later = np.zeros(len(window), bool)
-        later[sorted_by] = np.r_[False, same] if len(window) else same
+        later[by] = np.r_[False, same][: len(by)]
         goes = later | (holder < order[owner])
 
         def covered(some: np.ndarray) -> np.ndarray:
@@ -302,23 +420,22 @@ def repeats(docs: DataFrame, least: int = LEAST, span: int = SPAN, id_col: str =
             return np.cumsum(edge[:-1]) > 0
 
         repeated, removed = _spans_of(covered(window), texts), _spans_of(covered(window[goes]), texts)
-        holders: list[set] = [set() for _ in texts.lengths]
-        pairs = np.unique(np.stack([owner[goes], holder[goes]], 1), axis=0) if goes.any() else np.empty((0, 2), np.int64)
-        for o, h in pairs.tolist():
-            holders[o].add(h)
+        kept_in: list[list] = [[] for _ in texts.lengths]
+        for o, h in np.unique(np.stack([owner[goes], holder[goes]], 1), axis=0).tolist():
+            if h != _NO_DOC:
+                kept_in[o].append(h)
         total = lambda spans: [sum(e - s for s, e in x) for x in spans]
         pairs_type = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
         spans_of = lambda spans: pa.array([[{"first": s, "end": e} for s, e in x] for x in spans], pairs_type)
-        added = [
-            pa.array(texts.lengths), pa.array(total(repeated), pa.int64()), pa.array(total(removed), pa.int64()),
-            spans_of(repeated), spans_of(removed), pa.array([sorted(h - {_NO_DOC}) for h in holders], pa.list_(pa.int64())),
-        ]
-        kept = wanted.names[: -len(ADDED)]
-        cuts = pa.array([str(without(t, s), "utf-8", "replace") for t, s in zip(bodies, removed, strict=True)], pa.string()) if cut else None
-        return pa.table([*[cuts if cut and c == text_col else batch.column(c) for c in kept], *added], wanted.names)
-
-    told = places.unionByName(copies).groupBy("chunk")
-    return plain.groupBy("key").cogroup(told).applyInArrow(mark_and_cut, wanted) if cut else told.applyInArrow(mark, wanted)
+        columns = batch.column("row").flatten()
+        if cut:
+            bodies = batch.column("body").to_pylist()
+            columns[text_at] = pa.array([str(without(t, s), "utf-8", "replace") for t, s in zip(bodies, removed, strict=True)], pa.string())
+        added = [pa.array(texts.lengths), pa.array(total(repeated), pa.int64()), pa.array(total(removed), pa.int64()), spans_of(repeated), spans_of(removed), pa.array(kept_in, pa.list_(pa.int64()))]
+        return pa.table([*columns, *added], wanted.names)
+
+    told = extended.where(F.col("kind") == PLACES).unionByName(found).groupBy("key")
+    return chunks.where(F.col("kind") == ROWS).groupBy("key").cogroup(told).applyInArrow(mark, wanted)
 
 
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from shardloom.llm import neardup
+from shardloom.llm import neardup, suffixes
 from shardloom.llm.neardup import near_duplicates, shingles, signatures
 from shardloom.llm.suffixes import repeats, without
 
@@ -99,6 +99,20 @@ def test_signatures_estimate_similarity():
     assert (signatures(np.empty(0, np.uint64), np.array([0]), 12) == np.iinfo(np.uint64).max).all()
 
 
+def test_slack_of_signatures():
+    """Pairs at the threshold, from the smallest sets that can be there, agree far more than the slack lets pass."""
+    r = np.random.default_rng(2)
+    bins = neardup.BANDS * neardup.ROWS
+    for n, same in [(5, 4), (7, 6), (10, 8), (20, 17), (100, 85), (180, 160), (1000, 890), (4000, 3560)]:
+        pairs = []
+        for _ in range(400):
+            a = r.integers(0, 2**63, 2 * n - same).astype(np.uint64)
+            pairs += [a[:n], a[n - same :]] if same / (2 * n - same) >= 0.8 else [a[:n], a[:same]]
+        sig = signatures(np.concatenate(pairs), np.array([len(p) for p in pairs]), bins) & np.uint64(255)
+        agree = (sig[::2] == sig[1::2]).mean(1)
+        assert agree.min() > 0.8 - neardup.SLACK + 0.03, (n, agree.min())
+
+
 def test_shingles_are_sets_of_lower_cased_words():
     h, n = shingles([b"A b c d e f", b"a B c d e f", b"a b", b"A  B", b"b a", b"", b"x x x x x x x"])
     parts = np.split(h, np.cumsum(n)[:-1])
@@ -127,8 +141,10 @@ def brute_repeats(rows, least):
     return sorted(((str(rows[n][0]), len(words[n]), sorted(rep[n]), sorted(gone[n])) for n in range(len(rows))), key=str)
 
 
-@pytest.mark.parametrize("least, span", [(50, 20), (12, 4)])
-def test_repeats(spark, tmp_path, least, span):
+@pytest.mark.parametrize("least, span, hot", [(50, 20, 10_000), (12, 4, 10_000), (12, 4, 2), (50, 20, 1)])
+def test_repeats(spark, tmp_path, monkeypatch, least, span, hot):
+    """Also with spans that are dealt to several buckets, as those with many occurrences are."""
+    monkeypatch.setattr(suffixes, "HOT", hot)
     rows = corpus()
     found = repeats(saved(spark, tmp_path / "d", rows), least, span).collect()
     spread = lambda spans: [i for s in spans for i in range(s["first"], s["end"])]
@@ -136,6 +152,18 @@ def test_repeats(spark, tmp_path, least, span):
     assert all(r["n_repeated"] == len(spread(r["repeated"])) and r["n_removed"] == len(spread(r["removed"])) for r in found)
 
 
+def test_neighbours_of_sorted_rows():
+    r = np.random.default_rng(1)
+    rows = r.integers(0, 3, (200, 6)).astype(np.int32)
+    order, shared = suffixes._rows_sorted(rows)
+    for depth in range(7):
+        of = suffixes._classes(order, shared, depth)
+        assert all((of[i] == of[j]) == (rows[i, :depth] == rows[j, :depth]).all() for i in range(0, 200, 7) for j in range(200))
+    assert [len(x) for x in suffixes._rows_sorted(np.empty((0, 5), np.int32))] == [0, 0]
+    x = r.integers(0, 9, 100).astype(np.uint64)
+    assert all(suffixes._first_least(x, w).tolist() == [i + int(x[i : i + w].argmin()) for i in range(101 - w)] for w in (1, 2, 3, 31))
+
+
 def test_cut_removes_all_but_one_copy(spark, tmp_path):
     rows = [(i, t) for i, t in corpus() if i is not None and i != 20]
     docs = saved(spark, tmp_path / "d", rows).drop("n_words")
