@@ -4,9 +4,13 @@ Texts with equal shingle sets are one class from the start. Each class's signatu
 ranges of a single hash; empty bins copy a bin that a hash of (bin, attempt) picks. Classes that agree in a band share
 a bucket. First each class is compared with one centre of its buckets: a star, so candidates grow with the members.
 Confirmed links give components. What a star can leave out are links between members of different components that share
-a bucket. Components whose members' signatures say that they may be linked form a family, by a forest of such pairs;
-members of a family's different components are compared on their full sets, in cells of bounded size that give a forest
-of confirmed links. So what is sent on grows with the members throughout, and every link is confirmed on full sets.
+a bucket. Members of such a bucket whose signatures say that they may be linked are sent, once for each main component
+of their buckets, to the cells of that component, where they are compared on their full sets; a cell gives a forest of
+confirmed links. Every link is confirmed on full sets.
+
+Cells are bounded in rows and bytes. A component's cells are its members' blocks by the blocks of those outside it, so
+a member of a component with s such strays is sent s / BLOCK times: what is sent grows with the members only as long as
+strays fill a bounded number of blocks.
 """
 
 from __future__ import annotations
@@ -18,20 +22,21 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import LOWER, mixed, new_path, slices, stored, table, utf8, windows
+from .common import LOWER, mixed, new_path, shared_dir, slices, stored, table, utf8, windows
 
 #: Words of a shingle.
 SHINGLE = 5
 #: Bands and rows of a band. At similarity 0.85 a pair shares no band once in 10**9 times, at 0.8 once in 10**6.
 BANDS, ROWS = 36, 5
-#: Pairs whose signatures agree by this much less than the threshold are not confirmed; five standard deviations.
+#: Pairs whose signatures agree by this much less than the threshold are not confirmed: over six standard deviations, as
+#: bins agree independently with the probability of the similarity, whatever the sets' sizes. tests/llm measure it.
 SLACK = 0.2
-#: Members of one block of a bucket or family, and texts that are compared with one other text in one group.
-BLOCK, GROUP = 1000, 256
+#: Rows and bytes of one block of a bucket or component, and texts that are compared with one other text in one group.
+BLOCK, BLOCK_BYTES, GROUP = 2000, 8 << 20, 256
 _U64 = np.uint64
 
 
@@ -78,7 +83,10 @@ def signatures(hashes: np.ndarray, counts: np.ndarray, bins: int) -> np.ndarray:
 
 
 def described(docs: DataFrame, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, node (one for each id and text), n_shingles, set_id, bands, sketch of every row."""
+    """doc_id, node (one for each id and text), n_shingles, set_id, bands, sketch of every row.
+
+    set_id is a 128-bit digest of the sorted set, so texts of one set_id have equal sets.
+    """
     body = utf8(text_col)
     wanted = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, body).alias("node"), body.alias("body"))
 
@@ -86,10 +94,8 @@ def described(docs: DataFrame, bands: int, rows: int, id_col: str, text_col: str
         for b in slices(batches, "body"):
             hashes, counts = shingles(b.column("body").to_pylist())
             sig = signatures(hashes, counts, bands * rows)
-            owner = np.repeat(np.arange(len(counts)), counts)
-            of_set = np.zeros(len(counts), _U64)
-            np.add.at(of_set, owner, mixed(hashes ^ _U64(0x2545F4914F6CDD1D)))
-            of_set = mixed(of_set + counts.astype(_U64))
+            ends = np.cumsum(counts)
+            of_set = [xxhash.xxh3_128_digest(hashes[e - n : e].tobytes()) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
             by_band = sig.reshape(len(counts), bands, rows)
             keys = np.zeros((len(counts), bands), _U64) + np.arange(bands, dtype=_U64)
             for i in range(rows):
@@ -99,11 +105,11 @@ def described(docs: DataFrame, bands: int, rows: int, id_col: str, text_col: str
             flat = pa.array(keys[some].ravel().view(np.int64))
             sketch = (sig & _U64(255)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("node"), pa.array(counts), pa.array(of_set.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), flat), pa.array([s.tobytes() for s in sketch], pa.binary())],
+                [b.column("doc_id"), b.column("node"), pa.array(counts), pa.array(of_set, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), flat), pa.array([s.tobytes() for s in sketch], pa.binary())],
                 ["doc_id", "node", "n_shingles", "set_id", "bands", "sketch"],
             )
 
-    return wanted.mapInArrow(run, "doc_id bigint, node bigint, n_shingles bigint, set_id bigint, bands array<bigint>, sketch binary")
+    return wanted.mapInArrow(run, "doc_id bigint, node bigint, n_shingles bigint, set_id binary, bands array<bigint>, sketch binary")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
@@ -135,12 +141,13 @@ def confirmed(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     return left.groupBy("a", "part").cogroup(right.groupBy("centre", "own_part")).applyInArrow(run, "a bigint, b bigint")
 
 
-def _in_blocks(rows: DataFrame, group: str, *carried: str) -> DataFrame:
-    """rows of groups dealt into cells (group, all_at, stray_at) of at most about BLOCK strays and BLOCK members.
+def _in_blocks(rows: DataFrame, group: str, size: Column, *carried: str) -> DataFrame:
+    """rows of groups dealt into cells (group, all_at, stray_at) of about BLOCK strays and BLOCK members, or BLOCK_BYTES of each.
 
     Every stray meets every member of its group in one cell. Rows have rep and stray; in a cell, probe marks its strays.
     """
-    sizes = rows.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("n_all"), F.ceil(F.count_if("stray") / BLOCK).alias("n_stray")).where("n_stray > 0")
+    blocks = lambda n, b: F.ceil(F.greatest(n / BLOCK, F.coalesce(b, F.lit(0)) / BLOCK_BYTES))
+    sizes = rows.groupBy(group).agg(blocks(F.count(F.lit(1)), F.sum(size)).alias("n_all"), blocks(F.count_if("stray"), F.sum(F.when(F.col("stray"), size))).alias("n_stray")).where("n_stray > 0")
     rows, spot = rows.join(sizes, group), F.xxhash64("rep")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     base = rows.select(group, F.pmod(spot, "n_all").alias("all_at"), every("n_stray").alias("stray_at"), F.lit(False).alias("probe"), *carried)
@@ -173,12 +180,18 @@ class _Labels:
         return pa.table({"a": pa.array([a for a, _ in self.links], pa.int64()), "b": pa.array([b for _, b in self.links], pa.int64())})
 
 
-def maybe_linked(members: DataFrame, labelled: DataFrame, star: DataFrame, sketches: DataFrame, threshold: int, bins: int) -> DataFrame:
-    """Pairs of components (a, b) that members of one bucket, alike by their signatures, may link: a forest in each cell.
+def _alike(sig: list[np.ndarray], n: list[np.ndarray], i: int, at: np.ndarray, threshold: int) -> np.ndarray:
+    """Those of the members `at` of side 1 that sizes and signatures allow to be linked with the stray i of side 0."""
+    at = at[100 * np.minimum(n[1][at], n[0][i]) >= threshold * np.maximum(n[1][at], n[0][i])]
+    return at[(sig[1][at] == sig[0][i]).mean(1) >= threshold / 100 - SLACK]
 
-    members(h, rep), labelled(rep, component), star(a, b). A bucket's strays are its members outside the component of the
-    smallest label there. Cells give one pair for each component that they join to another, so pairs grow with the
-    members. Only buckets of two whose pair is in the star are left out: that pair has been compared on full sets.
+
+def left_out(members: DataFrame, labelled: DataFrame, star: DataFrame, sketches: DataFrame, threshold: int, bins: int) -> DataFrame:
+    """(main, rep): members of a bucket that may be linked, by their signatures, with one of another component there.
+
+    members(h, rep), labelled(rep, component), star(a, b). main is the least component of a bucket, and a bucket's strays
+    are its members outside it. A row for each member and main at most. Only buckets of two whose pair is in the star
+    are left out: that pair has been compared on full sets.
     """
     rows = members.join(labelled, "rep")
     mains = rows.groupBy("h").agg(F.min("component").alias("main"), F.max("component").alias("other"), F.count(F.lit(1)).alias("k"), F.min("rep").alias("a"), F.max("rep").alias("b")).where("main <> other")
@@ -187,30 +200,27 @@ def maybe_linked(members: DataFrame, labelled: DataFrame, star: DataFrame, sketc
 
     def run(rows: pa.Table) -> pa.Table:
         sides = [rows.filter(pc.equal(rows.column("probe"), p)) for p in (True, False)]
-        comp, n = ([np.array(t.column(c)) for t in sides] for c in ("component", "n_shingles"))
+        comp, n, rep = ([np.array(t.column(c)) for t in sides] for c in ("component", "n_shingles", "rep"))
         sig = [np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, bins) for t in sides]
-        labels = _Labels(*comp)
+        found = [np.empty(0, np.int64)]
         for i in range(len(comp[0])):
-            at = labels.apart(i)
-            at = at[100 * np.minimum(n[1][at], n[0][i]) >= threshold * np.maximum(n[1][at], n[0][i])]
-            labels.link(i, at[(sig[1][at] == sig[0][i]).mean(1) >= threshold / 100 - SLACK])
-        return labels.table()
+            at = _alike(sig, n, i, np.flatnonzero(comp[1] != comp[0][i]), threshold)
+            if len(at):
+                found += [rep[0][i : i + 1], rep[1][at]]
+        found = np.unique(np.concatenate(found))
+        return pa.table({"main": pa.array(np.repeat(np.array(rows.column("main")[:1]), len(found)), pa.int64()), "rep": pa.array(found, pa.int64())})
 
-    cells = _in_blocks(rows, "h", "rep", "component", "n_shingles", "sketch")
-    return cells.groupBy("h", "all_at", "stray_at").applyInArrow(run, "a bigint, b bigint").distinct()
+    cells = _in_blocks(rows, "h", F.octet_length("sketch"), "main", "rep", "component", "n_shingles", "sketch")
+    return cells.groupBy("h", "all_at", "stray_at").applyInArrow(run, "main bigint, rep bigint").distinct()
 
 
-def links_within(families: DataFrame, labelled: DataFrame, texts: DataFrame, threshold: int, bins: int) -> DataFrame:
-    """Pairs of components (a, b) that a link between two members of one family joins, confirmed on full shingle sets.
+def links_within(asked: DataFrame, labelled: DataFrame, texts: DataFrame, threshold: int, bins: int) -> DataFrame:
+    """Pairs of components (a, b) that a link between two of the asked(main, rep) of one main joins, confirmed on full shingle sets.
 
-    families(component, family) holds components that may be linked, directly or by way of others. Members outside the
-    largest component of a family are compared with all members of other components there, in cells; a cell gives one
-    link for each component that it joins to another, and leaves out pairs that links found before have joined.
+    Those outside the main component are compared with all of other components, in cells; a cell gives one link for each
+    component that it joins to another, and leaves out pairs that links found before have joined.
     """
-    rows = labelled.join(families, "component")
-    sizes = rows.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
-    mains = sizes.groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-    rows = rows.join(mains, "family").withColumn("stray", F.col("component") != F.col("main"))
+    rows = asked.join(labelled, "rep").withColumn("stray", F.col("component") != F.col("main"))
     rows = rows.join(texts.withColumnRenamed("node", "rep"), "rep")
 
     def run(rows: pa.Table) -> pa.Table:
@@ -221,9 +231,7 @@ def links_within(families: DataFrame, labelled: DataFrame, texts: DataFrame, thr
         sig = [(signatures(h, c, bins) & _U64(255)).astype(np.uint8) for h, c in zip(hashes, n, strict=True)]
         own, every = (np.split(h, np.cumsum(c)[:-1]) if len(c) else [] for h, c in zip(hashes, n, strict=True))
         for i, mine in enumerate(own):
-            at = labels.apart(i)
-            at = at[100 * np.minimum(n[1][at], n[0][i]) >= threshold * np.maximum(n[1][at], n[0][i])]
-            at = at[(sig[1][at] == sig[0][i]).mean(1) >= threshold / 100 - SLACK]
+            at = _alike(sig, n, i, labels.apart(i), threshold)
             if not len(at):
                 continue
             sizes, flat = n[1][at], np.concatenate([every[j] for j in at.tolist()])
@@ -232,8 +240,8 @@ def links_within(families: DataFrame, labelled: DataFrame, texts: DataFrame, thr
             labels.link(i, at[100 * both >= threshold * (sizes + len(mine) - both)])
         return labels.table()
 
-    cells = _in_blocks(rows, "family", "rep", "component", "body")
-    return cells.groupBy("family", "all_at", "stray_at").applyInArrow(run, "a bigint, b bigint").distinct()
+    cells = _in_blocks(rows, "main", F.octet_length("body"), "rep", "component", "body")
+    return cells.groupBy("main", "all_at", "stray_at").applyInArrow(run, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -248,11 +256,12 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, bands: int = BANDS, ro
     null: it is the node of a member, and null for texts without shingles.
     """
     spark = docs.sparkSession
+    folder = f"{shared_dir(spark)}/shardloom"
     about = stored(described(docs, bands, rows, id_col, text_col), "near-signatures")
-    classes = stored(about.where("n_shingles > 0").groupBy("set_id").agg(F.min("node").alias("rep"), F.min("doc_id").alias("doc_id")), "near-classes")
-    reps = about.join(classes.select(F.col("rep").alias("node")), "node").dropDuplicates(["node"])
-    reps = reps.select(F.col("node").alias("rep"), "n_shingles", "bands", "sketch")
-    banded = reps.select("rep", F.explode("bands").alias("h"))
+    # Of equal sets, signatures are equal too.
+    of_sets = about.where("n_shingles > 0").groupBy("set_id").agg(F.min("node").alias("rep"), F.min("doc_id").alias("doc_id"), *[F.any_value(c).alias(c) for c in ("n_shingles", "bands", "sketch")])
+    classes = stored(of_sets, "near-classes")
+    banded = classes.select("rep", F.explode("bands").alias("h"))
     shared = banded.groupBy("h").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("k")).where("k > 1")
     members = stored(banded.join(shared.select("h", "centre"), "h"), "near-members")
     # The texts that any comparison needs, stored once.
@@ -264,22 +273,17 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, bands: int = BANDS, ro
     texts = spark.read.schema(texts.schema).parquet(path)
     # A star: each class with the centre that it shares most buckets with.
     ways = members.where("rep <> centre").groupBy("rep", "centre").agg(F.count(F.lit(1)).alias("k"))
-    best = F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("k"), "centre"))
-    star = stored(ways.withColumn("at", best).where("at = 1").select(F.col("centre").alias("a"), F.col("rep").alias("b")), "near-star")
-    links = stored(confirmed(star, texts, threshold), "near-links")
-    folder = path.rpartition("/")[0]
-    labels = stored(connected_components(links, "a", "b", folder), "near-labels")
-    ours = stored(wanted.withColumnRenamed("node", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component")), "near-ours")
-    sketches = about.select(F.col("node").alias("rep"), "n_shingles", "sketch").join(ours.select("rep"), "rep", "left_semi").dropDuplicates(["rep"])
-    maybe = stored(maybe_linked(members.select("h", "rep"), ours, star, sketches, threshold, bands * rows), "near-maybe")
-    final = labels
-    if not maybe.isEmpty():
-        families = stored(connected_components(maybe, "a", "b", folder).select(F.col("node").alias("component"), F.col("component").alias("family")), "near-families")
-        more = stored(links_within(families, ours, texts, threshold, bands * rows), "near-more")
-        if not more.isEmpty():
-            between = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
-            final = stored(connected_components(between, "a", "b", folder), "near-components")
-    labelled = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", "doc_id", F.coalesce("component", "rep").alias("component"))
+    best = ways.groupBy("rep").agg(F.min_by("centre", F.struct(-F.col("k"), "centre")).alias("centre"))
+    star = stored(best.select(F.col("centre").alias("a"), F.col("rep").alias("b")), "near-star")
+    links = confirmed(star, texts, threshold)
+    labels = stored(connected_components(links, "a", "b", folder).withColumnRenamed("node", "rep"), "near-labels")
+    ours = stored(texts.select(F.col("node").alias("rep")).join(labels, "rep", "left").select("rep", F.coalesce("component", "rep").alias("component")), "near-ours")
+    asked = stored(left_out(members.select("h", "rep"), ours, star, classes.select("rep", "n_shingles", "sketch"), threshold, bands * rows), "near-asked")
+    labelled = classes.select("set_id", "doc_id", "rep").join(ours, "rep", "left").select("set_id", "doc_id", F.coalesce("component", "rep").alias("component"))
+    if not asked.isEmpty():
+        more = connected_components(links_within(asked, ours, texts, threshold, bands * rows), "a", "b", folder)
+        more = more.select(F.col("node").alias("component"), F.col("component").alias("joined"))
+        labelled = labelled.join(more, "component", "left").select("set_id", "doc_id", F.coalesce("joined", "component").alias("component"))
     least = labelled.groupBy("component").agg(F.min("doc_id").alias("least"))
     of_set = labelled.join(least, "component").select("set_id", "component", "least")
     out = about.select("doc_id", "node", "n_shingles", "set_id").join(of_set, "set_id", "left")
