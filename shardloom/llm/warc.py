@@ -21,9 +21,8 @@ from .common import slices, stored, table, utf8
 PERMITTED = ("age", "cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 #: Query parameters that say where a visitor came from (fixed values).
 TRACKING = "^(utm_[a-z]+|fbclid|gclid)(=|$)"
-#: Records of one URL in one span of time; a URL with more is cut into more spans.
-SPAN_ROWS = 5_000
 RECORDS = "record_id string, kind string, url string, at bigint, status int, fields array<struct<name:string,value:string>>, n_bytes bigint, digest string"
+_RECORD_FIELDS = ("record_id", "kind", "url", "at", "status", "fields", "n_bytes", "digest")
 _FIELDS = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
 _HEAD_END = re.compile(rb"\r?\n\r?\n")
 
@@ -84,7 +83,7 @@ def read_records(raw: DataFrame, data_col: str = "data") -> DataFrame:
     """RECORDS of a binary column that holds one WARC record a row; null data gives a row of nulls."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["record_id", "kind", "url", "at", "status", "fields", "n_bytes", "digest"]
+        names = list(_RECORD_FIELDS)
         kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32(), _FIELDS, pa.int64(), pa.string()]
         for b in slices(batches, "data"):
             rows = [parse_record(x) for x in b.column("data").to_pylist()]
@@ -113,34 +112,35 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     outcome: full for a response with a status other than 304; for revisits (and 304 responses) resolved; mismatch, if a
     validator differs; unvalidated, if it carries none; missing, if there is no strictly earlier full response of the
     same canonical URL; other for other kinds. An ETag, compared weakly, decides if the revisit carries one, else
-    Last-Modified does. Only the latest earlier response is checked (of two at one time, that with the greater id).
-    Unresolved records keep what they have. Records without URL or time match nothing. A record id stands for one
-    response: repeated response rows are looked up once; repeated revisits come out as often as they go in.
-
-    The as-of join is two running maxima: over spans of time of each URL, then within a span; a URL with many records
-    is cut into many spans, so no task holds all of them.
+    Last-Modified does. Only the latest earlier response is checked (of several at one time, that with the greatest id,
+    then digest). Unresolved records keep what they have. Records without URL or time match nothing. Each row of records
+    is a record of its own, whether its id is null, repeated or neither; rows come out as often as they go in. Columns
+    beside those of RECORDS are left out. An empty table gives an empty result.
+
+    Records are first brought down to one row for each URL and second. These are cut into ranges by (URL, second), as
+    Spark samples them, so a URL with many seconds lies in many ranges, evenly however they lie in time. The as-of join
+    is then two running maxima: over the ranges of each URL, and within a range.
     """
-    given = stored(records.withColumn("canonical", canonical_url("url")), "warc-records")
+    given = records.select(*_RECORD_FIELDS).withColumns({"canonical": canonical_url("url"), "row": F.monotonically_increasing_id()})
+    given = stored(given, "warc-records")
     asks = (F.col("kind") == "revisit") | ((F.col("kind") == "response") & (F.coalesce("status", F.lit(0)) == 304))
     full = (F.col("kind") == "response") & ~asks
     given = given.withColumn("is_full", F.coalesce(full, F.lit(False))).withColumn("asks", F.coalesce(asks, F.lit(False)))
-    keyed = given.where("canonical is not null and at is not null and (is_full or asks)").select("canonical", "at", "record_id", "is_full", "asks")
-    per_url = keyed.groupBy("canonical").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.ceil(F.count(F.lit(1)) / SPAN_ROWS).alias("spans"))
-    placed = keyed.join(per_url, "canonical")
-    placed = placed.withColumn("span", F.floor((F.col("at") - F.col("first")) / (F.col("last") - F.col("first") + 1) * F.col("spans"))).drop("first", "last", "spans")
-    latest = F.max(F.when(F.col("is_full"), F.struct("at", "record_id")))
-    before = Window.partitionBy("canonical").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
-    carried = placed.groupBy("canonical", "span").agg(latest.alias("own")).select("canonical", "span", F.max("own").over(before).alias("carried"))
-    within = Window.partitionBy("canonical", "span").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
-    found = placed.withColumn("own", latest.over(within)).where("asks").join(carried, ["canonical", "span"], "left")
-    found = found.select(F.col("record_id").alias("of_record"), F.col("at").alias("of_at"), F.coalesce("own", "carried")["record_id"].alias("refers_to")).dropDuplicates(["of_record", "of_at"])
-    responses = given.where("is_full").select(F.col("record_id").alias("refers_to"), *[F.col(c).alias(f"of_{c}") for c in ("status", "fields", "n_bytes", "digest")]).dropDuplicates(["refers_to"])
-    with_response = given.where("asks").join(found, F.col("record_id").eqNullSafe(F.col("of_record")) & F.col("at").eqNullSafe(F.col("of_at")), "left").drop("of_record", "of_at")
-    with_response = with_response.join(responses, "refers_to", "left")
+    keyed = given.where("canonical is not null and at is not null and (is_full or asks)")
+    latest = F.max(F.when(F.col("is_full"), F.struct("at", "record_id", "digest", "row")))
+    seconds = keyed.groupBy("canonical", "at").agg(latest.alias("own"), F.max("asks").alias("asked"))
+    ranged = stored(seconds.repartitionByRange("canonical", "at").withColumn("range", F.spark_partition_id()), "warc-seconds")
+    before = Window.partitionBy("canonical").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ranged.groupBy("canonical", "range").agg(F.max("own").alias("own")).select("canonical", "range", F.max("own").over(before).alias("carried"))
+    within = Window.partitionBy("canonical", "range").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    found = ranged.withColumn("earlier", F.max("own").over(within)).where("asked").join(carried, ["canonical", "range"])
+    found = found.select("canonical", "at", F.coalesce("earlier", "carried").alias("of")).where("of is not null").select("canonical", "at", F.col("of.record_id").alias("refers_to"), F.col("of.row").alias("of_row"))
+    responses = given.where("is_full").select(F.col("row").alias("of_row"), *[F.col(c).alias(f"of_{c}") for c in ("status", "fields", "n_bytes", "digest")])
+    with_response = given.where("asks").join(found, ["canonical", "at"], "left").join(responses, "of_row", "left")
     weak = lambda c: F.regexp_replace(c, "^W/", "")
     etag, since = field("fields", "etag"), field("fields", "last-modified")
     agrees = F.when(etag.isNotNull(), weak(etag) == weak(field("of_fields", "etag"))).when(since.isNotNull(), since == field("of_fields", "last-modified"))
-    outcome = F.when(F.col("of_digest").isNull(), "missing").when(etag.isNull() & since.isNull(), "unvalidated").when(agrees, "resolved").otherwise("mismatch")
+    outcome = F.when(F.col("of_row").isNull(), "missing").when(etag.isNull() & since.isNull(), "unvalidated").when(agrees, "resolved").otherwise("mismatch")
     asked = with_response.withColumn("outcome", outcome)
     ok = F.col("outcome") == "resolved"
     asked = asked.select(
