@@ -50,6 +50,14 @@ def utf8(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")).cast("binary")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, or one made of it, that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def crc_fold(column: str | Column, folds: int) -> Column:
     """crc32 of an id as text, modulo folds; a null id counts as an empty text."""
     c = F.col(column) if isinstance(column, str) else column

@@ -15,9 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import new_path, slices, table, utf8
+from .common import new_path, slices, stored, table, unused, utf8
 
 CACHE_SCHEMA = T.StructType([T.StructField("tokenizer", T.StringType()), T.StructField("digest", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
+#: Missing digests that may be broadcast: some MB at most. Digests with more than such a share of the rows are dealt out.
+FEW, HOT_SHARE = 100_000, 1000
 #: Added token of the vocabulary byte_bpe_50k (fixed value); in a text, the library takes it for one token.
 END_OF_TEXT = "<|endoftext|>"
 
@@ -53,35 +55,58 @@ def byte_bpe_counter(rank_file: str, pattern: str, special: str = END_OF_TEXT):
 def count_tokens(docs: DataFrame, cache_path: str, rank_file: str, pattern: str, version: str, text_col: str = "text") -> DataFrame:
     """docs with digest, n_bytes and n_tokens, from the cache at cache_path (made if there is none).
 
-    Null text counts as empty: 0 bytes, 0 tokens. Repeated texts, whatever their ids, are encoded once. An empty table
-    gives an empty result and leaves the cache as it was. Columns of docs named like the three added are replaced.
-    Appending is one Spark write: a failed job leaves no count behind, and a digest that two jobs append is read once.
+    Null text counts as empty: 0 bytes, 0 tokens; that is all there is to normalise, as counts depend on every byte.
+    Repeated texts, whatever their ids, are encoded once. Columns of docs named like the three added are replaced, other
+    names can't clash. An empty table gives an empty result and leaves the cache as it was. Appending is one Spark write:
+    a failed job leaves no count behind, and a digest that two jobs append is read once.
+
+    Texts are sent only if their counts are missing: up to FEW missing digests are broadcast to find their texts, more
+    are joined with all. Digests of more than a HOT_SHARE-th of the rows, of which there are fewer than that, are dealt
+    to as many parts as they have such shares when counts are joined back.
     """
     spark = docs.sparkSession
     docs = docs.drop("digest", "n_bytes", "n_tokens")
     body = utf8(text_col)
-    keyed = docs.withColumns({"digest": F.unhex(F.sha2(body, 256)), "n_bytes": F.octet_length(body).cast("long")})
+    # A row's place: which copy of a text is encoded is settled on narrow rows, and only that copy's text is sent.
+    place = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.lit(1))
+    digest = F.unhex(F.sha2(body, 256)).alias("digest")
     spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(cache_path)
 
     def cached() -> DataFrame:
         held = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == version)
         return held.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
-    # A row's place: which copy of a text is encoded is settled on narrow rows, and only that copy's text is sent.
-    place = F.xxhash64(*[F.col(f"`{c}`") for c in keyed.columns if c not in (text_col, "digest", "n_bytes")], F.lit(1))
-    narrow = keyed.select("digest", place.alias("place"))
-    misses = narrow.groupBy("digest").agg(F.min("place").alias("place")).join(cached(), "digest", "left_anti")
-    texts = keyed.select("digest", place.alias("place"), body.alias("body")).join(misses, ["digest", "place"]).select("digest", "body")
+    digests = stored(docs.select(digest, place.alias("place")).groupBy("digest").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("copies")), "token-digests")
+    missing = stored(digests.join(cached(), "digest", "left_anti").select("digest", "place"), "token-misses")
+    lacking = missing.count()
+    texts = docs.select(digest, place.alias("place"), body.alias("body"))
+    if lacking <= FEW:
+        texts = texts.join(F.broadcast(missing), ["digest", "place"]).dropDuplicates(["digest"])
+    else:
+        texts = texts.join(missing, ["digest", "place"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = byte_bpe_counter(rank_file, pattern)
+        count, last = byte_bpe_counter(rank_file, pattern), (None, 0)
         for b in slices(batches, "body"):
-            n = [count(str(x, "utf-8", "replace")) for x in b.column("body").to_pylist()]
+            n = []
+            for d, x in zip(b.column("digest").to_pylist(), b.column("body").to_pylist(), strict=True):
+                # Rows alike in every column come one after another.
+                last = last if last[0] == d else (d, count(str(x, "utf-8", "replace")))
+                n.append(last[1])
             yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(n, pa.int64())], ["digest", "n_tokens"])
 
-    fresh = texts.mapInArrow(encode, "digest binary, n_tokens bigint").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    fresh.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache_path)
-    return keyed.join(cached(), "digest")
+    if lacking:
+        fresh = texts.select("digest", "body").mapInArrow(encode, "digest binary, n_tokens bigint").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+        fresh.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache_path)
+    rows = digests.agg(F.sum("copies")).first()[0] or 0
+    share = max(1, -(-rows // HOT_SHARE))
+    part, parts = unused(docs, "part"), unused(docs, "parts")
+    hot = F.broadcast(digests.where(F.col("copies") > share).select("digest", F.ceil(F.col("copies") / share).alias(parts)))
+    n_parts = F.coalesce(parts, F.lit(1))
+    keyed = docs.withColumns({"digest": digest, "n_bytes": F.octet_length(body).cast("long")})
+    dealt = keyed.join(hot, "digest", "left").withColumn(part, F.pmod(F.monotonically_increasing_id(), n_parts)).drop(parts)
+    counts = cached().join(hot, "digest", "left").select("digest", "n_tokens", F.explode(F.sequence(F.lit(0).cast("long"), n_parts - 1)).alias(part))
+    return dealt.join(counts, ["digest", part]).select(*[f"`{c}`" for c in docs.columns], "digest", "n_bytes", "n_tokens")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
