@@ -1,7 +1,8 @@
 """BPE encoding and decoding by a table of distinct words.
 
 Words are what ASCII white space separates; the tokenizer never joins across it. Each distinct word of the corpus is
-encoded once; ids go back to the documents by position. For decoding, each id is looked up in the id-to-piece table.
+encoded once; ids go back to the documents by position. For decoding, the distinct ids of a chunk are joined with the
+id-to-piece table, which is broadcast: it is as large as the vocabulary, whatever the corpus.
 """
 
 from __future__ import annotations
@@ -9,7 +10,6 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Callable
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,12 +40,21 @@ def decode(encoded: DataFrame, pieces: DataFrame, separator: str = " ", id_col:
     return long.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["piece"]), separator).alias("decoded"))
 
 
-@cache
-def piece_bytes(tokenizer_file: str) -> dict[int, bytes]:
-    """The id-to-piece table as a worker holds it."""
+def piece_rows(tokenizer_file: str) -> pa.Table:
+    """The same as an Arrow table, pieces as bytes."""
     from tokenizers import Tokenizer
 
-    return {i: p.encode() for p, i in Tokenizer.from_file(tokenizer_file).get_vocab(with_added_tokens=True).items()}
+    vocab = Tokenizer.from_file(tokenizer_file).get_vocab(with_added_tokens=True)
+    return pa.table({"id": pa.array(vocab.values(), pa.int64()), "piece": pa.array([p.encode() for p in vocab], pa.binary())})
+
+
+def joined_pieces(ids: np.ndarray, pieces: pa.Table) -> tuple[np.ndarray, list[bytes]]:
+    """The distinct ids, rising, and their pieces, by a join; an id that the table lacks raises."""
+    distinct = np.unique(ids)
+    found = pa.table({"id": pa.array(distinct, pa.int64())}).join(pieces, "id", join_type="inner").sort_by("id")
+    if found.num_rows != len(distinct):
+        raise ValueError("an id has no piece, or several")
+    return distinct, found.column("piece").to_pylist()
 
 
 def full_rows(ids: pa.Array, flat: np.ndarray, counts: np.ndarray, decoded: list[bytes]) -> pa.RecordBatch:
@@ -65,7 +74,10 @@ def encode_decode(docs: DataFrame, tokenizer_file: str, finish: Callable = full_
     executor is lost, as from files; else the job fails rather than mix words up.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("body"))
-    sent = word_chunks(rows, bucket_count(docs, text_col)).repartition("key")
+    buckets = bucket_count(docs, text_col)
+    # About a partition for each key: a bucket has the text of two chunks.
+    sent = word_chunks(rows, buckets).repartition(3 * buckets, "key")
+    pieces = docs.sparkSession.sparkContext.broadcast(piece_rows(tokenizer_file))
 
     def find(rows: pa.Table) -> pa.Table:
         """Encodes the distinct words of a bucket, and gives every chunk the ids of its words, packed."""
@@ -107,7 +119,8 @@ def encode_decode(docs: DataFrame, tokenizer_file: str, finish: Callable = full_
         sizes = np.concatenate([f[: r["n"]] for f, r in zip(flats, found, strict=True)]) if found else np.empty(0, np.int64)
         all_ids = np.concatenate([f[r["n"] :] for f, r in zip(flats, found, strict=True)]) if found else np.empty(0, np.int64)
         counts[order], start[order] = sizes, np.cumsum(sizes) - sizes
-        piece, texts, at_id = piece_bytes(tokenizer_file), [b""] * len(which), all_ids.tolist()
+        distinct, piece = joined_pieces(all_ids, pieces.value)
+        texts, at_id = [b""] * len(which), np.searchsorted(distinct, all_ids).tolist()
         for i, s, k in zip(order.tolist(), (np.cumsum(sizes) - sizes).tolist(), sizes.tolist(), strict=True):
             texts[i] = b" ".join([piece[x] for x in at_id[s : s + k]])
         n = counts[at]

@@ -3,7 +3,8 @@ import os
 
 import pytest
 
-from shardloom.llm.bpe import DIGESTS, decode, digests, encode_decode, piece_table
+from shardloom.llm import token_counts
+from shardloom.llm.bpe import DIGESTS, decode, digests, encode_decode, joined_pieces, piece_rows, piece_table
 from shardloom.llm.token_counts import byte_bpe_counter, count_tokens, tokenizer_version
 
 from .corpus import corpus, documents, saved
@@ -41,6 +42,16 @@ def test_decode_is_a_join(spark):
     assert found == {1: t.decode(ids, skip_special_tokens=False), 2: "", 3: "", 4: ""}
 
 
+def test_pieces_are_joined():
+    import numpy as np
+
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    ids, pieces = joined_pieces(np.array([5, 3, 5, 49407]), piece_rows(P.path("word_bpe_49k.json")))
+    assert ids.tolist() == [3, 5, 49407] and pieces == [t.id_to_token(int(i)).encode() for i in ids]
+    with pytest.raises(ValueError):
+        joined_pieces(np.array([10**6]), piece_rows(P.path("word_bpe_49k.json")))
+
+
 def test_encode_nothing(spark):
     assert encode_decode(documents(spark, []), P.path("word_bpe_49k.json")).count() == 0
     only = encode_decode(documents(spark, [(1, None), (2, "")], 1), P.path("word_bpe_49k.json")).collect()
@@ -62,6 +73,20 @@ def test_counter_is_the_library():
         assert count(x) == len(t.encode(x, add_special_tokens=False).ids), x[:80]
 
 
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_hot_texts_and_clashing_names(spark, tmp_path, monkeypatch, few):
+    """A third of the rows share a text; columns bear the names that the operator uses itself."""
+    monkeypatch.setattr(token_counts, "FEW", few)
+    monkeypatch.setattr(token_counts, "HOT_SHARE", 10)
+    rows = [(i % 7 or None, ["one two", None, f"text {i}"][i % 3], "p", i, 5, "d", 9) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, part string, parts int, place int, digest string, copies int").repartition(3)
+    out = count_tokens(docs, str(tmp_path / "cache"), *RANKS, "v")
+    assert out.columns == ["doc_id", "text", "part", "parts", "place", "copies", "digest", "n_bytes", "n_tokens"]
+    count = byte_bpe_counter(*RANKS)
+    assert sorted((r["parts"], r["part"], r["n_tokens"]) for r in out.collect()) == sorted((i, "p", count(text(t))) for _, t, _, i, _, _, _ in rows)
+    assert spark.read.parquet(str(tmp_path / "cache")).count() == 32
+
+
 def test_cache_is_used_and_grows(spark, tmp_path):
     rows, cache = corpus(), str(tmp_path / "cache")
     version = tokenizer_version(P.path("byte_bpe_50k.json"))
@@ -77,4 +102,6 @@ def test_cache_is_used_and_grows(spark, tmp_path):
     # What the cache holds is not encoded again: a wrong entry comes back.
     spark.createDataFrame([("v", hashlib.sha256(b"one").digest(), 77)], "tokenizer string, digest binary, n_tokens long").write.mode("append").parquet(cache)
     assert count_tokens(documents(spark, [(1, "one")]), cache, *RANKS, "v").first()["n_tokens"] == 77
+    held = spark.read.parquet(cache).count()
+    assert count_tokens(docs, cache, *RANKS, version).count() == len(rows) and spark.read.parquet(cache).count() == held
     assert count_tokens(documents(spark, []), cache, *RANKS, version).count() == 0
