@@ -34,11 +34,12 @@ class LineModel:
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, most: int = SAMPLE_DOCS) -> list[tuple[np.ndarray, np.ndarray, int]]:
     """(features, words a line, label) of at most `most` labelled documents, those with the smallest hashes of their ids.
 
-    Each has all its lines. No document is taken after the one with which they come to SAMPLE_LINES.
+    Each has all its lines. No document is taken after the one with which they come to SAMPLE_LINES. Of rows that repeat
+    an id, the one with the least text is taken, so the sample is bounded in rows too.
     """
     known = labels.where(F.col(target).isin(0, 1)).groupBy("doc_id").agg(F.max(target).cast("int").alias("y"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", utf8("text").alias("body")).join(F.broadcast(some), "doc_id").select("doc_id", "body", "y")
+    rows = docs.select("doc_id", utf8("text").alias("body")).join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("body").alias("body"), F.max("y").alias("y"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "body"):
@@ -111,7 +112,10 @@ def score(model: LineModel, texts: list[bytes]) -> np.ndarray:
 
 
 def score_documents(docs: DataFrame, model: LineModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and score of every row; null text scores as empty, repeated rows score alike, ids may be null."""
+    """doc_id and score of every row; null text scores as empty, repeated rows score alike, ids may be null.
+
+    A text is one chain however many lines it has. Other columns are ignored; an empty table gives an empty result.
+    """
     rows = docs.select(F.col(id_col).alias("doc_id"), utf8(text_col).alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACES, slices, table, utf8, windows
 from .crf import viterbi
-from .lines import SYMBOLS, lines_of, with_neighbours
+from .lines import OWN, SYMBOLS, lines_of, with_neighbours
 from .quality_classifier import LineModel, fit
 
 #: A text is kept if at least this share of its words is in lines of content.
@@ -54,12 +54,12 @@ def measure(model: LineModel, texts: list[bytes]) -> list[np.ndarray]:
     x = with_neighbours(np.concatenate([x for x, _ in got]).astype(np.float64), lengths)
     content = viterbi(model.crf, x, lengths) * np.concatenate([n for _, n in got])
     owner = np.repeat(np.arange(len(texts)), lengths)
-    seen_at = 14  # place of "seen" among a line's features
+    seen_at = OWN.index("seen")
     return [
         np.array([len(w) for w in words], np.int64),
         np.array([len(str(t.translate(None, SPACES), "utf-8", "replace")) for t in texts], np.int64),
         np.array([len(t) - len(t.translate(None, SYMBOLS)) for t in texts], np.int64),
-        np.array([int(f[:, seen_at].sum()) for f, _ in got], np.int64),
+        np.array([np.count_nonzero(f[:, seen_at]) for f, _ in got], np.int64),
         repeated_words(words),
         np.bincount(owner, content, len(texts)).astype(np.int64),
     ]
@@ -70,16 +70,17 @@ def apply_rules(docs: DataFrame, model: LineModel, text_col: str = "text") -> Da
 
     Null and empty texts count nothing, fail the base rules and aren't kept. A text fails them with fewer than
     FEWEST_WORDS words, or with more than MOST_REPEATED percent of words in repeated windows; else it is kept if at
-    least CONTENT_SHARE of its words is in lines decoded as content. Repeated rows get equal results.
+    least CONTENT_SHARE of its words is in lines decoded as content, a text being one chain however many lines it has.
+    Repeated rows get equal results; other columns may have any names. An empty table gives an empty result.
     """
     docs = docs.drop(*COUNTS, "base_failed", "kept")
-    rows = docs.select("*", utf8(text_col).alias("__body"))
+    rows = docs.select(F.struct("*").alias("row"), utf8(text_col).alias("body"))
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "__body"):
-            counts = measure(model, b.column("__body").to_pylist())
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in schema.names], *[pa.array(c, pa.int64()) for c in counts]], [*schema.names, *COUNTS])
+        for b in slices(batches, "body"):
+            counts = measure(model, b.column("body").to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.column("row").flatten(), *[pa.array(c, pa.int64()) for c in counts]], [*schema.names, *COUNTS])
 
     fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in schema] + [f"{c} bigint" for c in COUNTS])
     counted = rows.mapInArrow(run, fields)

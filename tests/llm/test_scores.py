@@ -3,6 +3,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from functools import cache
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ import pytest
 from shardloom.llm.common import crc_fold
 from shardloom.llm import quality_classifier
 from shardloom.llm.crf import Crf, forward_backward, train, viterbi
-from shardloom.llm.lm import lattice_scorer, pieces_of, score_documents
+from shardloom.llm.lm import Lattice, pieces_of, score_documents
 from shardloom.llm.quality_classifier import LineModel, fit, labelled_sample, score, score_documents as quality_of
 from shardloom.llm.lines import OWN, lines_of, with_neighbours
 from shardloom.llm.quality_rules import apply_rules, measure
@@ -25,29 +26,50 @@ def lower(t):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
 
 
-def spellings(word, pieces, by_byte):
-    """Sum over all segmentations, by recursion."""
+def shares(word, pieces, by_byte, logs):
+    """(sum over all segmentations, expected counts of their pieces), by recursion over the rest of the word."""
     s = "▁" + word
+    fits = lambda i, p: "▁" not in p if i else p[0] == "▁" and "▁" not in p[1:]
 
-    def ways(i):
+    @cache
+    def rest(i):
         if i == len(s):
-            return 1.0
-        total = sum(math.exp(pieces[s[i:j]]) * ways(j) for j in range(i + 1, len(s) + 1) if s[i:j] in pieces)
-        if s[i] not in pieces:
-            total += math.exp(sum(by_byte[b] for b in s[i].encode())) * ways(i + 1)
-        return total
-
-    return ways(0)
+            return 1.0, Counter()
+        ways = [((pieces[s[i:j]],), j) for j in range(i + 1, min(len(s), i + 20) + 1) if s[i:j] in pieces and fits(i, s[i:j])]
+        if s[i] not in pieces or not fits(i, s[i]):
+            ways.append((tuple(by_byte[b] for b in s[i].encode()), i + 1))
+        total, counts = 0.0, Counter()
+        for ids, j in ways:
+            x = math.exp(sum(logs[k] for k in ids))
+            after, inner = rest(j)
+            total += x * after
+            for k, n in inner.items():
+                counts[k] += x * n
+            for k in ids:
+                counts[k] += x * after
+        return total, counts
+
+    whole, counts = rest(0)
+    return whole, Counter({i: n / whole for i, n in counts.items()})
 
 
 def test_lattice_sums_all_segmentations():
-    pieces = {p: math.log(x) for p, x in {"▁": 0.1, "a": 0.05, "b": 0.1, "ab": 0.2, "▁a": 0.1, "ba": 0.04, "▁abab": 0.01, "bab": 0.03}.items()}
-    by_byte = {b: math.log(0.001) for b in range(256)}
-    score = lattice_scorer(pieces, by_byte)
-    for w in ("a", "ab", "abab", "babab", "aéb", "z", "😀"):
-        assert math.isclose(score(w), math.log(spellings(w, pieces, by_byte)), rel_tol=1e-12)
-        assert math.isclose(score(w, math.log(0.3)), math.log(spellings(w, pieces, by_byte) + 0.3), rel_tol=1e-12)
-    assert math.isfinite(score("ab" * 50_000))
+    some = {"▁": 0.1, "a": 0.05, "b": 0.1, "ab": 0.2, "▁a": 0.1, "ba": 0.04, "▁abab": 0.01, "bab": 0.03, "▁▁": 0.1, "a▁": 0.1}
+    by_byte = {b: 100 + b for b in range(256)}
+    pieces = {p: i for i, p in enumerate(some)}
+    logs = {i: math.log(some[p]) for p, i in pieces.items()} | {i: math.log(0.001) for i in by_byte.values()}
+    for known in (pieces, {p: i for p, i in pieces.items() if p != "▁"}):
+        lattice = Lattice(known, by_byte, logs)
+        for w in ("a", "ab", "abab", "babab", "aéb", "z", "😀", "▁a", "a▁b", "▁"):
+            whole, counts = shares(w, known, by_byte, logs)
+            assert math.isclose(lattice.score(w), math.log(whole), rel_tol=1e-12)
+            into = [0.0] * 400
+            lattice.expect(w, 3, into)
+            assert all(math.isclose(x, 3 * counts[i], abs_tol=1e-12) for i, x in enumerate(into))
+    assert math.isfinite(lattice.score("ab" * 50_000))
+    into = [0.0] * 400
+    lattice.expect("ab" * 20_000, 2, into)
+    assert math.isclose(sum(x * len(p.replace("▁", "")) for p, x in zip(some, into)), 2 * 40_000, rel_tol=1e-6)
 
 
 def test_language_model_scores(spark, tmp_path):
@@ -56,28 +78,26 @@ def test_language_model_scores(spark, tmp_path):
     tokens = [[*WORD.findall(lower(t)), None] for _, t in rows]
     counts = Counter(w for (i, _), ws in zip(rows, tokens, strict=True) if trains(i) for w in ws)
     n, v = sum(counts.values()), len(counts)
-    sp, pieces, by_byte = pieces_of(P.path("piece_bpe_32k.model"))
+    pieces, by_byte, first = pieces_of(P.path("piece_bpe_32k.model"))
+    assert math.isclose(sum(map(math.exp, first.values())), 1, rel_tol=1e-9) and set(first) == {*pieces.values(), *by_byte.values()}
     used = Counter()
     for w, c in counts.items():
-        if w is not None and c:
-            used.update(sp.encode(w))
-    used = Counter({i: 0.6 * c for i, c in used.items()})
-    known = [*pieces.values(), *by_byte.values()]
-    whole = sum(c - 0.6 for w, c in counts.items() if w is not None)
-    drawn = math.log(sum(used[i] for i in known) + whole + counts[None] + 0.1 * (len(known) + 1))
-    logs = lambda ids: {k: math.log(used[i] + 0.1) - drawn for k, i in ids.items()}
-    scorer = lattice_scorer(logs(pieces), logs(by_byte))
-    model = lambda w: math.log(counts[None] + 0.1) - drawn if w is None else scorer(w, math.log(counts[w] - 0.6) - drawn if counts[w] else None)
+        if w is not None:
+            for i, x in shares(w, pieces, by_byte, first)[1].items():
+                used[i] += c * x
+    drawn = math.log(sum(used.values()) + counts[None] + 0.1 * (len(first) + 1))
+    logs = {i: math.log(used[i] + 0.1) - drawn for i in first}
+    of_word = {w: math.log(shares(w, pieces, by_byte, logs)[0]) for w in {w for ws in tokens for w in ws if w is not None}} | {None: math.log(counts[None] + 0.1) - drawn}
     wanted = []
     for (i, _), ws in zip(rows, tokens, strict=True):
         base = sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws)
-        wanted.append((str(i), not trains(i), len(ws), sum(counts[w] > 0 for w in ws), n, base, sum(map(model, ws)) / math.log(10)))
+        wanted.append((str(i), not trains(i), len(ws), sum(counts[w] > 0 for w in ws), n, base, sum(of_word[w] for w in ws) / math.log(10)))
     docs = saved(spark, tmp_path / "d", rows)
     found = score_documents(docs, crc_fold("doc_id", 10) != 0, P.path("piece_bpe_32k.model")).collect()
     found = sorted((str(r["doc_id"]), *[r[c] for c in ("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")]) for r in found)
     assert len(found) == len(wanted)
     for a, b in zip(found, sorted(wanted), strict=True):
-        assert a[:5] == b[:5] and math.isclose(a[5], b[5], rel_tol=1e-9) and math.isclose(a[6], b[6], rel_tol=1e-9)
+        assert a[:5] == b[:5] and math.isclose(a[5], b[5], rel_tol=1e-9) and math.isclose(a[6], b[6], rel_tol=1e-5)
 
 
 def test_language_model_without_documents(spark):
@@ -203,6 +223,68 @@ def test_long_texts_are_one_chain():
     assert measure(LineModel(steady, np.zeros(2), 0.5), [text])[5][0] == n.sum()
 
 
+def test_rules_with_clashing_names(spark):
+    """Columns bear names that the operator uses itself, or gives."""
+    flat = LineModel(Crf(np.zeros((3 * len(OWN), 2)), np.zeros((2, 2))), np.zeros(2), 0.5)
+    docs = spark.createDataFrame([(1, "a b " * 30, "p", "q", 7), (2, None, "p", "q", 7)], "doc_id long, text string, body string, row string, n_words int")
+    out = apply_rules(docs, flat)
+    assert out.columns[:4] == ["doc_id", "text", "body", "row"] and sorted((r["doc_id"], r["n_words"], r["body"], r["row"]) for r in out.collect()) == [(1, 60, "p", "q"), (2, 0, "p", "q")]
+    assert apply_rules(docs.limit(0), flat).count() == 0
+
+
+def test_sample_is_bounded_in_rows(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(200)] + [(2, "good"), (3, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    assert len(labelled_sample(docs, labels, "quality", 2)) == 2 and len(labelled_sample(docs, labels, "quality", 9)) == 3
+
+
+def brute_marginals(crf, x):
+    """Viterbi labels and marginals of label 1 by plain recursion over one chain, in Python floats."""
+    score = [[float(v) for v in row] for row in x @ crf.emit]
+    step = crf.step.tolist()
+    add = lambda a, b: max(a, b) + math.log1p(math.exp(-abs(a - b)))
+    ahead, best, come = [score[0]], [score[0]], []
+    for s in score[1:]:
+        a, m = ahead[-1], best[-1]
+        ahead.append([s[y] + add(a[0] + step[0][y], a[1] + step[1][y]) for y in (0, 1)])
+        come.append([0 if m[0] + step[0][y] >= m[1] + step[1][y] else 1 for y in (0, 1)])
+        best.append([s[y] + max(m[0] + step[0][y], m[1] + step[1][y]) for y in (0, 1)])
+    back = [[0.0, 0.0]]
+    for s in reversed(score[1:]):
+        b = back[-1]
+        back.append([add(step[y][0] + s[0] + b[0], step[y][1] + s[1] + b[1]) for y in (0, 1)])
+    back.reverse()
+    labels = [0 if best[-1][0] >= best[-1][1] else 1]
+    for c in reversed(come):
+        labels.append(c[labels[-1]])
+    whole = add(*ahead[-1])
+    return labels[::-1], [math.exp(a[1] + b[1] - whole) for a, b in zip(ahead, back, strict=True)]
+
+
+@pytest.mark.parametrize("n", [600, 5000])
+def test_scores_and_rules_against_brute_force(spark, n):
+    """kept and score of texts with few and with very many lines, by a model with real weights and strong steps."""
+    r = np.random.default_rng(n)
+    model = LineModel(Crf(r.normal(scale=0.4, size=(3 * len(OWN), 2)), np.array([[1.5, -0.5], [-0.5, 1.0]])), np.array([0.2, 0.7]), 0.25)
+    lines = texts(400, 5)[0]
+    some = random.Random(n)
+    long = "\n".join(some.choice(lines).split("\n")[0] if some.random() < 0.6 else "| x | # | !!" for _ in range(n))
+    every = [long, *lines[:25], "", "# | # |"]
+    docs = spark.createDataFrame(list(enumerate(every)), "doc_id long, text string")
+    ruled = {x["doc_id"]: x for x in apply_rules(docs, model).collect()}
+    scored = {x["doc_id"]: x["score"] for x in quality_of(docs, model).collect()}
+    for i, t in enumerate(every):
+        own, sizes = lines_of(t.encode())
+        if not len(sizes):
+            assert scored[i] == 0.25 and not ruled[i]["kept"]
+            continue
+        labels, good = brute_marginals(model.crf, with_neighbours(own.astype(np.float64), np.array([len(sizes)])))
+        share = min(max(float(np.dot(good, sizes)) / sizes.sum(), 1e-4), 1 - 1e-4)
+        assert math.isclose(scored[i], 1 / (1 + math.exp(-(0.2 + 0.7 * math.log(share / (1 - share))))), rel_tol=1e-9)
+        content = int(np.dot(labels, sizes))
+        assert ruled[i]["content_words"] == content and ruled[i]["kept"] == (not ruled[i]["base_failed"] and 2 * content >= sizes.sum())
+
+
 def test_sampled_documents_are_whole(spark, monkeypatch):
     texts_of = {i: "\n".join(f"line {j} of {i}" for j in range(n)) for i, n in enumerate([100, 7, 61, 0, 300])}
     docs = documents(spark, list(texts_of.items())).select("doc_id", "text")
