@@ -11,6 +11,8 @@ from .common import WORD, stored, table
 KEY_BITS = 60
 #: Documents in one range of keys; a source is cut into as many ranges as it needs.
 RANGE_ROWS = 5_000
+#: Ranges of one run.
+RUN = 1000
 #: A target stops at so many times its source's size.
 MOST_EPOCHS = 3
 
@@ -64,9 +66,12 @@ def mix(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", text_col: st
     keyed = narrow.join(targets, narrow["source"].eqNullSafe(targets["source"])).drop(targets["source"])
     ranges = F.ceil(F.col("rows") / RANGE_ROWS)
     keyed = keyed.withColumn("range", F.floor(F.col("key").cast("double") * ranges / F.lit(float(1 << KEY_BITS))))
-    sums = keyed.groupBy("source", "range").agg(F.sum("size").alias("sum"))
-    before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("source", "range", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("start"))
+    # Prefix sums over runs of ranges, then over the ranges of a run, so no task sees all ranges of a source.
+    sums = keyed.groupBy("source", "range").agg(F.sum("size").alias("sum")).withColumn("run", F.expr(f"range div {RUN}"))
+    earlier = lambda w: F.coalesce(F.sum("sum").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = sums.groupBy("source", "run").agg(F.sum("sum").alias("sum")).select(F.col("source").alias("of"), F.col("run").alias("at"), earlier(Window.partitionBy("source").orderBy("run")).alias("base"))
+    starts = sums.join(runs, F.col("source").eqNullSafe(F.col("of")) & (F.col("run") == F.col("at")))
+    starts = starts.select("source", "range", (F.col("base") + earlier(Window.partitionBy("source", "run").orderBy("range"))).alias("start"))
     on = keyed["source"].eqNullSafe(starts["source"]) & (keyed["range"] == starts["range"])
     placed = keyed.join(starts, on).drop(starts["source"], starts["range"])
     within = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
@@ -83,15 +88,18 @@ def mixed_documents(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id",
 
     Columns stay as they are, but for the text of the rows at the cuts. Rows that are not taken don't come out.
     """
-    row = F.xxhash64(F.lit(seed), id_col, text_col, source_col)
-    marked = docs.withColumn("__row", row)
-    taken = mix(marked, seed, id_col, text_col, source_col, ("__row",)).where("taken > 0")
-    copies = taken.groupBy("__row").agg(F.sum("epochs").cast("int").alias("__whole"), F.collect_list(F.when(F.col("part") > 0, F.col("part").cast("int"))).alias("__parts"))
-    one = marked.join(copies, "__row").dropDuplicates(["__row"])
-    spread = one.withColumn("__words", F.explode(F.concat(F.array_repeat(F.lit(-1), F.col("__whole")), F.col("__parts"))))
-    words = F.regexp_extract_all(text_col, F.lit("[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+"), F.lit(0))
-    cut = F.when(F.col("__words") < 0, F.col(text_col)).otherwise(F.array_join(F.slice(words, 1, F.greatest("__words", F.lit(0))), ""))
-    return spread.withColumn(text_col, cut).select(*[f"`{c}`" for c in docs.columns])
+    names = [f"`{c}`" for c in docs.columns]
+    marked = docs.select(F.struct(*names).alias("doc"), F.struct(*[F.xxhash64(F.lit(k), *names).alias(f"h{k}") for k in (0, 1)]).alias("row"))
+    told = marked.select("row", *[F.col("doc")[c].alias(n) for c, n in ((id_col, "id"), (text_col, "text"), (source_col, "source"))])
+    taken = mix(told, seed, "id", "text", "source", ("row",)).where("taken > 0")
+    # Rows alike in every column are one row here, taken as often as all of them: a count and the words of the cuts.
+    copies = taken.groupBy("row").agg(F.sum("epochs").cast("int").alias("whole"), F.collect_list(F.when(F.col("part") > 0, F.col("part").cast("int"))).alias("parts"))
+    one = marked.join(copies, "row").dropDuplicates(["row"])
+    spread = one.select("doc", F.explode(F.concat(F.array_repeat(F.lit(-1), F.col("whole")), F.col("parts"))).alias("words"))
+    text = F.col("doc")[text_col]
+    words = F.regexp_extract_all(text, F.lit("[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+"), F.lit(0))
+    cut = F.when(F.col("words") < 0, text).otherwise(F.array_join(F.slice(words, 1, F.greatest("words", F.lit(0))), ""))
+    return spread.select(*[cut.alias(c) if c == text_col else F.col("doc")[c].alias(c) for c in docs.columns])
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
