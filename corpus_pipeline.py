@@ -35,8 +35,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     alone = found.where("n_shingles = 0").select("node")
     one = found.where("n_shingles > 0").groupBy("component").agg(F.min("node").alias("node")).select("node")
     keep = stored(one.unionByName(alone).distinct(), "kept-nodes")
-    marked = docs.withColumn("__node", F.xxhash64("doc_id", utf8("text")))
-    return marked.join(keep.withColumnRenamed("node", "__node"), "__node", "left_semi").dropDuplicates(["__node"]).drop("__node").select(*docs.columns)
+    marked = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", utf8("text")).alias("node"))
+    return marked.join(keep, "node", "left_semi").dropDuplicates(["node"]).select("row.*")
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
