@@ -5,7 +5,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from shardloom.llm import mixing, topk, warc
+from shardloom.llm import mixing, topk
 from shardloom.llm.mixing import mix, mixed_documents
 from shardloom.llm.topk import top_k
 from shardloom.llm.warc import canonical_url, page_captures, parse_record, read_records, resolve_revisits
@@ -62,10 +62,10 @@ def test_mix_of_little(spark):
     assert [r["taken"] for r in mix(documents(spark, [(1, None), (2, "")])).collect()] == [0, 0]
 
 
-def brute_top(rows, k):
+def brute_top(rows, k, scale=256):
     import math
 
-    fine = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    fine = [(i, [math.floor(scale * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
     for q, v in {i: v for i, v in reversed(fine) if i % 5 == 0}.items():
         best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in fine if i != q and len(w) == len(v))[:k]
@@ -83,6 +83,7 @@ def test_top_k(spark, monkeypatch, scale):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
     found = sorted(tuple(x) for x in top_k(df, F.col("vec_id") % 5 == 0, 5).select("query_id", "rank", "vec_id", "score").collect())
     assert found == brute_top(rows, 5)
+    assert sorted(tuple(x) for x in top_k(df, F.col("vec_id") % 5 == 0, 3, 100.0).collect()) == brute_top(rows, 3, 100)
     assert top_k(df.limit(0), F.col("vec_id") % 5 == 0).count() == 0
 
 
@@ -92,8 +93,7 @@ def record(kind, i, url, at, status, fields, body=b""):
     return head.encode() + http + b"\r\n\r\n"
 
 
-def test_revisits(spark, monkeypatch):
-    monkeypatch.setattr(warc, "SPAN_ROWS", 3)
+def test_revisits(spark):
     u, tag = "https://www.A.example/p/", ("ETag", '"x"')
     raw = [
         record("response", "r1", u, 10, 200, [tag, ("Date", "1"), ("Content-Type", "t"), ("Content-Length", "3")], b"abc"),
@@ -128,6 +128,17 @@ def test_revisits(spark, monkeypatch):
     assert resolve_revisits(df.limit(0)).count() == 0
 
 
+def test_records_without_ids(spark):
+    """Records that share an id, or have none, at one second of two URLs each get their own URL's response."""
+    name = "struct<name:string,value:string>"
+    etag = [("ETag", '"x"')]
+    rows = [("r1" if i % 2 else None, "response", f"https://{h}.example/", at, 200, etag, n, f"{h}{at}", "extra") for i, (h, at, n) in enumerate([("a", 1, 5), ("b", 1, 7), ("b", 2, 8), ("b", 10**9, 9)])]
+    rows += [(None, "revisit", f"https://{h}.example/", 3, 304, etag, 0, "", "extra") for h in "aabc"] + [("v", "revisit", f"https://{h}.example/", 3, 304, etag, 0, "", "extra") for h in "ab"]
+    df = spark.createDataFrame(rows, f"record_id string, kind string, url string, at long, status int, fields array<{name}>, n_bytes long, digest string, canonical string")
+    found = sorted((str(r["record_id"]), r["canonical"], r["outcome"], r["n_bytes"], r["digest"]) for r in resolve_revisits(df).collect() if r["kind"] == "revisit")
+    assert found == sorted([("None", "a.example", "resolved", 5, "a1")] * 2 + [("None", "b.example", "resolved", 8, "b2"), ("None", "c.example", "missing", 0, ""), ("v", "a.example", "resolved", 5, "a1"), ("v", "b.example", "resolved", 8, "b2")])
+
+
 def test_urls(spark):
     given = ["HTTP://WWW.Example.com:80/a/?b=2&utm_source=x&a=1#f", "https://example.com", "https://example.com/?fbclid=1", "no", None, "", "http://x/a?"]
     found = [r["c"] for r in spark.createDataFrame([(i, u) for i, u in enumerate(given)], "i int, u string").orderBy("i").select(canonical_url("u").alias("c")).collect()]
