@@ -22,6 +22,20 @@ def with_blocks(people: DataFrame, zip_code: str = "ZipCode", first: str = "Firs
     return people.withColumns({"block_zip": F.expr(f"try_cast({zip_code} AS int)"), "block_first": letter(first), "block_last": letter(last)})
 
 
+def nest(records: DataFrame, blocks: Sequence[str], name: str = "Rows", part_rows: int = 10_000) -> DataFrame:
+    """blocks, name: the records of each block as arrays of structs, of about part_rows each; a block with more has several."""
+    sizes = records.groupBy(*blocks).agg(F.ceil(F.count(F.lit(1)) / part_rows).alias("__parts"))
+    on = [F.col(f"r.{b}").eqNullSafe(F.col(f"s.{b}")) for b in blocks]
+    dealt = records.alias("r").join(sizes.alias("s"), on).select("r.*", F.pmod(F.monotonically_increasing_id(), F.col("__parts")).alias("__part"))
+    rest = [c for c in records.columns if c not in blocks]
+    return dealt.groupBy(*blocks, "__part").agg(F.collect_list(F.struct(*rest)).alias(name)).drop("__part")
+
+
+def unnest(nested: DataFrame, name: str = "Rows") -> DataFrame:
+    """The records of nested blocks, one row each, beside the blocks' other columns."""
+    return nested.select(*[c for c in nested.columns if c != name], F.explode(name).alias("__row")).select("*", "__row.*").drop("__row")
+
+
 def matches(
     records: DataFrame,
     blocks: Sequence[str],

@@ -14,25 +14,36 @@ from ..session import checkpoints
 SPAN_ROWS = 100_000
 
 
-def running_sum(df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[str], value: Column, name: str, span_rows: int = SPAN_ROWS) -> DataFrame:
-    """df with the sum of `value` over each key's rows up to and with this one, by (order, ties).
+def running_sums(df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[str], sums: dict[str, Column], tops: dict[str, Column] | None = None, span_rows: int = SPAN_ROWS, own: dict[str, Column] | None = None) -> DataFrame:
+    """df with the sums and greatest values, by name, over each key's rows up to and with this one, by (order, ties).
 
-    A key's rows are cut into spans of equal width of the numeric column `order`; spans' sums are added up first (a row
-    for each span), then rows within a span. So a hot key is worked on by as many tasks as it has spans. The order must
-    be total and not null; null keys form a group; null values count as 0.
+    A key's rows are cut into spans of equal width of the numeric column `order`; spans are added up first (a row for
+    each), then rows within a span. So a hot key is worked on by as many tasks as it has spans. The order must be total
+    and not null; null keys form a group; null values count as 0 in sums and are skipped among the greatest. own gives
+    further aggregates, by name, over the rows so far of the row's own span alone.
     """
-    rows = df.withColumn("__value", F.coalesce(value, F.lit(0)))
+    tops = tops or {}
+    given = {f"__v_{n}": F.coalesce(v, F.lit(0)) for n, v in sums.items()} | {f"__v_{n}": v for n, v in tops.items()}
+    rows = df.withColumns(given)
     extent = rows.groupBy(*keys).agg(F.min(order).alias("__first"), F.max(order).alias("__last"), F.ceil(F.count(F.lit(1)) / span_rows).alias("__spans"))
     same = lambda a, b, names: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in names]
     placed = rows.alias("r").join(extent.alias("x"), same("r", "x", keys)).select("r.*", "__first", "__last", "__spans")
     width = (F.col(order) - F.col("__first")) / (F.col("__last") - F.col("__first") + F.lit(1))
     placed = placed.withColumn("__span", F.floor(width * F.col("__spans"))).drop("__first", "__last", "__spans")
     before = Window.partitionBy(*keys).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
-    starts = placed.groupBy(*keys, "__span").agg(F.sum("__value").alias("__sum"))
-    starts = starts.select(*keys, "__span", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__start"))
-    both = placed.alias("r").join(starts.alias("s"), same("r", "s", [*keys, "__span"])).select("r.*", "__start")
+    merge = {n: F.sum for n in sums} | {n: F.max for n in tops}
+    starts = placed.groupBy(*keys, "__span").agg(*[f(f"__v_{n}").alias(f"__s_{n}") for n, f in merge.items()])
+    starts = starts.select(*keys, "__span", *[f(f"__s_{n}").over(before).alias(f"__b_{n}") for n, f in merge.items()])
+    both = placed.alias("r").join(starts.alias("s"), same("r", "s", [*keys, "__span"])).select("r.*", *[f"__b_{n}" for n in merge])
     within = Window.partitionBy(*keys, "__span").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(name, F.col("__start") + F.sum("__value").over(within)).drop("__value", "__span", "__start")
+    done = {n: F.coalesce(f"__b_{n}", F.lit(0)) + F.sum(f"__v_{n}").over(within) for n in sums} | {n: F.greatest(f"__b_{n}", F.max(f"__v_{n}").over(within)) for n in tops}
+    done |= {n: v.over(within) for n, v in (own or {}).items()}
+    return both.withColumns(done).drop("__span", *[f"__{k}_{n}" for n in merge for k in "vb"])
+
+
+def running_sum(df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[str], value: Column, name: str, span_rows: int = SPAN_ROWS) -> DataFrame:
+    """running_sums of one value."""
+    return running_sums(df, keys, order, ties, {name: value}, span_rows=span_rows)
 
 
 def zip_with_index(df: DataFrame, order: Sequence[str], name: str = "rowId", offset: int = 1) -> DataFrame:

@@ -42,45 +42,46 @@ class State:
         return self.m2 / (self.n - ddof) if self.n > ddof else None
 
 
-def partial_states(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """keys, n, mean, m2, max: one row for each group and partition, made by numpy from Arrow batches.
+def partial_states(df: DataFrame, keys: Sequence[str], *values: str) -> DataFrame:
+    """keys, value, n, mean, m2, max: a row for each group, Arrow batch and name in values, made by numpy in one scan.
 
-    A worker holds one batch and its groups' states, never a group's rows.
+    A worker holds one batch and its groups' states, never a group's rows. Nulls are skipped.
     """
-    source = df.select(*keys, F.col(value).cast("double").alias("__x"))
+    source = df.select(*keys, *[F.col(v).cast("double").alias(f"__{i}") for i, v in enumerate(values)])
     fields = ", ".join(f"`{k}` {source.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            t = pa.Table.from_batches([b])
-            moments = t.append_column("__i", pa.array(np.arange(b.num_rows))).group_by(list(keys), use_threads=False).aggregate([("__i", "list")])
-            x = b.column("__x").to_numpy(zero_copy_only=False).astype(float)
-            known = np.array(b.column("__x").is_valid())
-            rows = [State().update(x[i[known[i]]]) for i in (np.array(v.as_py()) for v in moments.column("__i_list"))]
-            columns = [moments.column(k).combine_chunks() for k in keys]
-            columns += [pa.array([getattr(s, f) for s in rows], t) for f, t in (("n", pa.int64()), ("mean", pa.float64()), ("m2", pa.float64()), ("maximum", pa.float64()))]
-            yield pa.RecordBatch.from_arrays(columns, [*keys, "n", "mean", "m2", "max"])
+            groups = pa.Table.from_batches([b.select(list(keys))]).append_column("__at", pa.array(np.arange(b.num_rows))).group_by(list(keys), use_threads=False).aggregate([("__at", "list")])
+            places = [np.array(v.as_py()) for v in groups.column("__at_list")]
+            own = [groups.column(k).combine_chunks() for k in keys]
+            for i, v in enumerate(values):
+                x = b.column(f"__{i}").to_numpy(zero_copy_only=False).astype(float)
+                known = np.array(b.column(f"__{i}").is_valid())
+                states = [State().update(x[at[known[at]]]) for at in places]
+                columns = [pa.array([getattr(s, f) for s in states], t) for f, t in (("n", pa.int64()), ("mean", pa.float64()), ("m2", pa.float64()), ("maximum", pa.float64()))]
+                yield pa.RecordBatch.from_arrays([*own, pa.array([v] * len(states), pa.string()), *columns], [*keys, "value", "n", "mean", "m2", "max"])
 
-    return source.mapInArrow(run, f"{fields}, n bigint, mean double, m2 double, max double")
+    return source.mapInArrow(run, f"{fields}, value string, n bigint, mean double, m2 double, max double")
 
 
 def merge_states(states: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One state for each key, by Chan's merge over its states, of which there is one for each part of the data."""
-
-    def chan(a: Column, b: Column) -> Column:
-        n, gap = a["n"] + b["n"], b["mean"] - a["mean"]
-        both = F.struct(
-            n.alias("n"),
-            (a["mean"] + gap * F.try_divide(b["n"], n)).alias("mean"),
-            (a["m2"] + b["m2"] + gap * gap * a["n"] * F.try_divide(b["n"], n)).alias("m2"),
-        )
-        return F.when(b["n"] == 0, a).when(a["n"] == 0, b).otherwise(both)
-
-    total = states.groupBy(*keys).agg(F.collect_list(F.struct("n", "mean", "m2")).alias("__states"), F.max("max").alias("max"))
-    none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
-    return total.select(*keys, F.aggregate("__states", none, chan).alias("s"), "max").select(*keys, "s.n", "s.mean", "s.m2", "max")
+    """One state for each key: n, mean, m2, max.
+
+    Sums of n and n * mean give the mean; then m2 is the sum of each state's own and of n times the square of its mean's
+    distance. Both are plain aggregates, combined before their shuffles, so a key's states are never held together;
+    states are spread once, by an exchange that both read.
+    """
+    spread = states.select(*keys, "n", "mean", "m2", "max").repartition(*keys, F.xxhash64("n", "mean", "m2"))
+    total = F.sum("n")
+    means = spread.groupBy(*keys).agg(total.alias("__n"), F.try_divide(F.sum(F.col("n") * F.col("mean")), total).alias("__mean"), F.sum("m2").alias("__m2"), F.max("max").alias("__max"))
+    on = [F.col(f"s.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys]
+    both = spread.alias("s").join(means.alias("t"), on).select("s.*", "t.__n", "t.__mean")
+    gap = F.col("mean") - F.col("__mean")
+    m2 = F.sum(F.when(F.col("n") > 0, F.col("m2") + F.col("n") * gap * gap).otherwise(F.lit(0.0)))
+    return both.groupBy(*keys).agg(F.max("__n").alias("n"), F.coalesce(F.max("__mean"), F.lit(0.0)).alias("mean"), m2.alias("m2"), F.max("max").alias("max"))
 
 
 def state_variance(ddof: int = 0) -> Column:

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoints
 from ..sources.schemas import STUDENT_SUMMARY
 
 #: Departments are numbered from 0 (fixed value).
@@ -237,5 +238,14 @@ def summaries_by_snippets(lines: DataFrame) -> DataFrame:
 
 
 def header_ranges(headers: DataFrame, order: str, name: str = "next") -> DataFrame:
-    """headers with the place of the next one, null for the last. The window has one row for each header."""
-    return headers.withColumn(name, F.lead(order).over(Window.orderBy(order)))
+    """headers with the place of the next one, null for the last.
+
+    Headers are sorted in ranges, which are kept by checkpoint; the next one is found within a range, and for a range's
+    last from the ranges' first ones, of which there is a row for each range. Headers with equal places follow one another.
+    """
+    checkpoints(headers.sparkSession)
+    ranged = headers.sort(order).withColumn("__range", F.spark_partition_id()).checkpoint()
+    firsts = ranged.groupBy("__range").agg(F.min(order).alias("__first"))
+    firsts = firsts.select("__range", F.lead("__first").over(Window.orderBy("__range")).alias("__after"))
+    within = F.lead(order).over(Window.partitionBy("__range").orderBy(order))
+    return ranged.join(firsts, "__range").withColumn(name, F.coalesce(within, "__after")).drop("__range", "__after")

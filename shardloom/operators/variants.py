@@ -1,12 +1,13 @@
 """Other formulations of the statistics, kept to be held against the canonical ones and to offer their surfaces.
 
-Each gives the result of grouped_stats, conditional_stats or bilevel_stats. None holds a group in one task: where
-Python sees groups, they are dealt into bounded parts whose states are merged.
+Each gives the result of grouped_stats, conditional_stats or bilevel_stats. Where Python sees groups, it sees them in
+bounded parts whose states are merged. conditional_window and bilevel_window work on a whole group in one task: they are
+there to be compared, not to be used on large groups.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from .ordered import running_sums
 from .progressive import merge_states, partial_states, state_variance
 from .stats import hand_variance
 
@@ -21,12 +23,12 @@ from .stats import hand_variance
 PART_ROWS = 50_000
 
 
-def in_parts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """df with __part: numbers that cut each group of the keys into parts of about PART_ROWS rows."""
-    sizes = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).alias("__parts"))
-    on = [F.col(f"r.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys]
-    dealt = df.alias("r").join(sizes.alias("n"), on).select("r.*", "__parts")
-    return dealt.withColumn("__part", F.pmod(F.monotonically_increasing_id(), F.col("__parts"))).drop("__parts")
+def in_parts(df: DataFrame) -> DataFrame:
+    """df with __part: numbers that cut each partition, and so any group in it, into parts of PART_ROWS rows at most."""
+    row = F.monotonically_increasing_id()
+    # The id's upper bits are the partition, its lower 33 the row in it.
+    within = row.bitwiseAND(F.lit((1 << 33) - 1))
+    return df.withColumn("__part", F.shiftleft(F.shiftright(row, 33), 33) + F.floor(within / PART_ROWS))
 
 
 def grouped_sql(df: DataFrame, keys: Sequence[str], c: str, d: str, e: str) -> DataFrame:
@@ -36,31 +38,41 @@ def grouped_sql(df: DataFrame, keys: Sequence[str], c: str, d: str, e: str) -> D
     return df.sparkSession.sql(query, t=df)
 
 
+def _of_states(states: DataFrame, keys: Sequence[str], c: str, d: str, e: str) -> DataFrame:
+    """The statistics from states of the columns c, d and e, named by value."""
+    merged = merge_states(states, [*keys, "value"])
+    of = lambda v, x: F.max(F.when(F.col("value") == v, x))
+    mean, var = F.when(F.col("n") > 0, F.col("mean")), state_variance()
+    return merged.groupBy(*keys).agg(of(c, mean).alias("mean_of_C"), of(d, F.col("max")).alias("max_of_D"), of(e, var).alias("var_of_E"), of(e, var).alias("var_of_E2"))
+
+
 def grouped_partials(df: DataFrame, keys: Sequence[str], c: str, d: str, e: str) -> DataFrame:
-    """Batch states made by numpy, merged by one aggregation."""
-    state = {x: merge_states(partial_states(df, keys, x), keys) for x in dict.fromkeys((c, d, e))}
-    out = state[c].select(*keys, F.when(F.col("n") > 0, F.col("mean")).alias("mean_of_C"))
-    out = out.join(state[d].select(*keys, F.col("max").alias("max_of_D")), list(keys))
-    var = state_variance()
-    return out.join(state[e].select(*keys, var.alias("var_of_E"), var.alias("var_of_E2")), list(keys))
+    """Batch states made by numpy in one scan, merged by aggregations."""
+    return _of_states(partial_states(df, keys, *dict.fromkeys((c, d, e))), keys, c, d, e)
 
 
 def grouped_map(df: DataFrame, keys: Sequence[str], c: str, d: str, e: str) -> DataFrame:
-    """Groups of pandas rows, in parts of bounded size, each giving sums that are added up."""
-    source = df.select(*keys, F.col(c).alias("c"), F.col(d).alias("d"), F.col(e).alias("e"))
-    source = in_parts(source, keys)
+    """Groups of pandas rows: each batch is grouped by pandas where it is, and its groups' states are merged.
+
+    No row is shuffled, and a worker holds one batch.
+    """
+    values = list(dict.fromkeys((c, d, e)))
+    source = df.select(*keys, *[F.col(v).cast("double").alias(f"__{i}") for i, v in enumerate(values)])
     kinds = ", ".join(f"`{k}` {source.schema[k].dataType.simpleString()}" for k in keys)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf["e"].dropna().to_numpy()
-        mean = float(x.mean()) if len(x) else 0.0
-        own = {k: [pdf[k].iloc[0]] for k in keys}
-        return pd.DataFrame(own | {"sc": [pdf["c"].sum()], "nc": [int(pdf["c"].count())], "max": [pdf["d"].max()], "n": [len(x)], "mean": [mean], "m2": [float(np.inner(x - mean, x - mean))]})
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            if not len(pdf):
+                continue
+            by = pdf.groupby(list(keys), dropna=False, sort=False)
+            for i, v in enumerate(values):
+                x = by[f"__{i}"]
+                pdf["__gap"] = (pdf[f"__{i}"] - x.transform("mean")) ** 2
+                states = pd.DataFrame({"n": x.count(), "mean": x.mean().fillna(0.0), "m2": pdf.groupby(list(keys), dropna=False, sort=False)["__gap"].sum(), "max": x.max()}).reset_index()
+                states.insert(len(keys), "value", v)
+                yield states
 
-    parts = source.groupBy(*keys, "__part").applyInPandas(run, f"{kinds}, sc double, nc bigint, max double, n bigint, mean double, m2 double")
-    merged = merge_states(parts, keys).select(*keys, F.col("max").alias("max_of_D"), state_variance().alias("var_of_E"), state_variance().alias("var_of_E2"))
-    means = parts.groupBy(*keys).agg(F.try_divide(F.sum("sc"), F.sum("nc")).alias("mean_of_C"))
-    return means.join(merged, list(keys)).select(*keys, "mean_of_C", "max_of_D", "var_of_E", "var_of_E2")
+    return _of_states(source.mapInPandas(run, f"{kinds}, value string, n bigint, mean double, m2 double, max double"), keys, c, d, e)
 
 
 @F.pandas_udf(ArrayType(DoubleType()))
@@ -71,19 +83,31 @@ def moments(x: pd.Series) -> np.ndarray:
     return np.array([len(x), mean, float(np.inner(x - mean, x - mean))])
 
 
-def grouped_udaf(df: DataFrame, keys: Sequence[str], c: str, d: str, e: str) -> DataFrame:
-    """A user-defined aggregate for the variance beside built-in ones, by parts."""
-    parts = in_parts(df.select(*keys, e), keys)
-    parts = parts.groupBy(*keys, "__part").agg(moments(F.col(e).cast("double")).alias("s"))
+def grouped_udaf(df: DataFrame, keys: Sequence[str], c: str, d: str, e: str, ddof: int = 0) -> DataFrame:
+    """A user-defined aggregate for the variance (of the population, or with ddof=1 of a sample) beside built-in ones, by parts."""
+    parts = in_parts(df.select(*keys, e)).groupBy(*keys, "__part").agg(moments(F.col(e).cast("double")).alias("s"))
     parts = parts.select(*keys, F.col("s")[0].cast("long").alias("n"), F.col("s")[1].alias("mean"), F.col("s")[2].alias("m2"), F.lit(None).cast("double").alias("max"))
-    merged = merge_states(parts, keys).select(*keys, state_variance().alias("var_of_E"), state_variance().alias("var_of_E2"))
-    return df.groupBy(*keys).agg(F.avg(c).alias("mean_of_C"), F.max(d).alias("max_of_D")).join(merged, list(keys))
-
-
-def running_stats(df: DataFrame, keys: Sequence[str], order: Sequence[str], c: str, d: str, e: str) -> DataFrame:
-    """df with the statistics of each group's rows so far, in a total order of them."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns({"mean_of_C": F.avg(c).over(w), "max_of_D": F.max(d).over(w), "var_of_E": F.var_pop(e).over(w)})
+    merged = merge_states(parts, keys).select(*keys, state_variance(ddof).alias("var_of_E"), state_variance(ddof).alias("var_of_E2"))
+    on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    built_in = df.groupBy(*keys).agg(F.avg(c).alias("mean_of_C"), F.max(d).alias("max_of_D"))
+    return built_in.alias("a").join(merged.alias("b"), on).select("a.*", "b.var_of_E", "b.var_of_E2")
+
+
+def running_stats(df: DataFrame, keys: Sequence[str], at: str, ties: Sequence[str], c: str, d: str, e: str) -> DataFrame:
+    """df with the statistics of each key's rows so far, in the order of (at, ties), `at` being a number.
+
+    Rows are worked on in spans, as in running_sums. Beyond a key's first span the variance comes from sums around its mean of e.
+    """
+    on = [F.col(f"r.{k}").eqNullSafe(F.col(f"m.{k}")) for k in keys]
+    middle = df.groupBy(*keys).agg(F.avg(e).alias("__middle"))
+    rows = df.alias("r").join(middle.alias("m"), on).select("r.*", "__middle")
+    x = F.col(e) - F.col("__middle")
+    one = lambda v: F.when(F.col(v).isNotNull(), 1).otherwise(0)
+    sums = {"__nc": one(c), "__c": F.col(c), "__n": one(e), "__x": x, "__xx": x * x}
+    out = running_sums(rows, keys, at, ties, sums, {"max_of_D": F.col(d)}, own={"__seen": F.count(e), "__var": F.var_pop(e)})
+    mean = F.try_divide(F.col("__x"), F.col("__n"))
+    var = F.greatest(F.lit(0.0), F.try_divide(F.col("__xx"), F.col("__n")) - mean * mean)
+    return out.withColumns({"mean_of_C": F.try_divide(F.col("__c"), F.col("__nc")), "var_of_E": F.when(F.col("__n") == F.col("__seen"), F.col("__var")).otherwise(var)}).drop("__middle", "__seen", "__var", *sums)
 
 
 def conditional_join(df: DataFrame, keys: Sequence[str], predicate: Column, c: str, d: str, e: str) -> DataFrame:

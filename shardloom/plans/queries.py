@@ -8,10 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import name_similarity
-from ..operators import stats, variants
-from ..operators.dedupe import matches, merged, with_blocks, with_components
+from ..operators import sections, stats, variants
+from ..operators.dedupe import deduplicated_in_blocks, matches, merged, nest, unnest, with_blocks, with_components
 from ..operators.ordered import running_sum
-from ..operators.sections import header_ranges
 from ..sources.readers import read_parquet, tagged_union
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,11 +58,19 @@ _grouped("vanilla_grouped_map", lambda df: variants.grouped_map(df, KEYS, C, D,
 _grouped("vanilla_udaf", lambda df: variants.grouped_udaf(df, KEYS, C, D, E))
 
 
-@query("""
+SAMPLE_SQL = """
 SELECT l_returnflag, l_linestatus, round(avg(l_extendedprice), 6) AS mean_of_C, max(l_discount) AS max_of_D,
        round(var_samp(l_quantity), 4) AS var_of_E, round(var_samp(l_quantity), 4) AS var_of_E2
 FROM lineitem GROUP BY ALL
-""")
+"""
+
+
+@query(SAMPLE_SQL)
+def vanilla_sample_udaf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(variants.grouped_udaf(table(spark, sf_dir, "lineitem"), KEYS, C, D, E, ddof=1), ("mean_of_C",), ("var_of_E", "var_of_E2"))
+
+
+@query(SAMPLE_SQL)
 def vanilla_sample_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(stats.grouped_stats(table(spark, sf_dir, "lineitem"), KEYS, C, D, E, ddof=1), ("mean_of_C",), ("var_of_E", "var_of_E2"))
 
@@ -90,7 +97,8 @@ SELECT event_id, round(avg(value) OVER w, 6) AS mean_of_C, max(value) OVER w AS
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)
 """)
 def vanilla_running(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = variants.running_stats(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value", "value", "value")
+    events = table(spark, sf_dir, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    out = variants.running_stats(events, ["user_id"], "at", ["event_id"], "value", "value", "value")
     return rounded(out.select("event_id", "mean_of_C", "max_of_D", "var_of_E"), ("mean_of_C",), ("var_of_E",))
 
 
@@ -177,6 +185,72 @@ def sections_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_LINES_SQL = """
+  o AS (SELECT o_custkey, o_orderkey, o_orderdate, o_orderstatus <> 'P' AS closed, o_orderkey % 4 AS major FROM orders JOIN customer ON c_custkey = o_custkey),
+  i AS (SELECT l_orderkey, l_suppkey % 4 AS dept, CAST(floor(l_quantity) AS INTEGER) % 5 AS credits, CAST(floor(l_extendedprice) AS BIGINT) % 5 AS grade FROM lineitem)"""
+STUDENTS_SQL = f"""
+WITH {_LINES_SQL},
+m AS (SELECT o_custkey, arg_max(major, o_orderkey) AS major FROM o WHERE closed GROUP BY o_custkey),
+c AS (SELECT o_custkey, count(*) * 2 AS n FROM o WHERE closed GROUP BY o_custkey),
+g AS (SELECT o.o_custkey, i.dept, count(*) AS n, sum(credits) AS credits, sum(credits * grade) AS points FROM o JOIN i ON l_orderkey = o_orderkey WHERE closed GROUP BY ALL),
+t AS (SELECT g.o_custkey, sum(n) AS n, sum(credits) AS credits, sum(points) AS points, coalesce(sum(credits) FILTER (WHERE dept = major), 0) AS own, coalesce(sum(points) FILTER (WHERE dept = major), 0) AS own_points
+      FROM g JOIN m USING (o_custkey) GROUP BY g.o_custkey)
+SELECT CAST(c_custkey AS INTEGER) AS "StudentId", c_name AS "StudentName", CAST(1 + coalesce(c.n, 0) + coalesce(t.n, 0) AS INTEGER) AS "SourceLines",
+       round(coalesce(points, 0) / greatest(1, coalesce(credits, 0)), 10) AS "GPA", CAST(major AS INTEGER) AS "Major",
+       CASE WHEN major IS NOT NULL THEN round(coalesce(own_points, 0) / greatest(1, coalesce(own, 0)), 10) END AS "MajorGPA"
+FROM customer LEFT JOIN m ON m.o_custkey = c_custkey LEFT JOIN c ON c.o_custkey = c_custkey LEFT JOIN t ON t.o_custkey = c_custkey
+"""
+
+
+def student_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """value, file, block, at: a customer is a student, an order a trimester, an item a class; pending orders lack the footer."""
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    orders = table(spark, sf_dir, "orders").join(customers.select(F.col("c_custkey").alias("o_custkey")), "o_custkey").select("o_custkey", "o_orderkey", "o_orderdate", "o_orderstatus", "o_orderpriority")
+    items = table(spark, sf_dir, "lineitem").join(orders.select("o_custkey", F.col("o_orderkey").alias("l_orderkey")), "l_orderkey")
+    key = F.col("o_orderkey")
+
+    def line(who: str, order: Column, kind: int, of_kind: tuple[Column, Column], *parts: Column) -> list[Column]:
+        """A line's text and place: lines of a thousand students are a block, and sort within it by `at`."""
+        at = F.format_string("%03d %015d %d %03d %015d", F.col(who) % 1000, order + 1, F.lit(kind), *of_kind)
+        return [F.concat_ws(",", *parts).alias("value"), F.lit("lines").alias("file"), F.floor(F.col(who) / 1000).alias("block"), at.alias("at")]
+
+    no_place = (F.lit(0), F.lit(0).cast("long"))
+    heads = customers.select(*line("c_custkey", F.lit(-1).cast("long"), 0, no_place, F.lit("S"), F.col("c_custkey"), F.col("c_name")))
+    abroad = F.when(F.col("o_orderpriority") == "1-URGENT", "True").otherwise("False")
+    opens = orders.select(*line("o_custkey", key, 0, no_place, F.lit("TH"), F.date_format("o_orderdate", "yyyy-MM-dd"), abroad))
+    graded = (F.lit("C"), F.col("l_suppkey") % 4, F.floor("l_quantity") % 5, F.floor("l_extendedprice") % 5)
+    classes = items.select(*line("o_custkey", F.col("l_orderkey"), 1, (F.col("l_linenumber"), F.col("l_partkey")), *graded))
+    closes = orders.where("o_orderstatus <> 'P'").select(*line("o_custkey", key, 2, no_place, F.lit("TF"), key % 4, F.lit("3.5"), F.lit(12)))
+    return heads.unionByName(opens).unionByName(classes).unionByName(closes)
+
+
+def _students(name: str, f: Callable[[DataFrame], DataFrame]) -> None:
+    @query(STUDENTS_SQL, name)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return f(student_lines(spark, sf_dir)).withColumns({c: F.round(c, 10) for c in ("GPA", "MajorGPA")})
+
+
+_students("sections_students", sections.student_summaries)
+_students("sections_students_machine", sections.summaries_by_state_machine)
+
+
+@query(f"""
+WITH {_LINES_SQL}, r AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS section FROM customer)
+SELECT section, CAST(c_custkey AS INTEGER) AS student, 1 + count(o_orderkey) + count(o_orderkey) FILTER (WHERE closed) + CAST(coalesce(sum(n), 0) AS BIGINT) AS n_lines,
+       count(o_orderkey) AS n_terms, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_classes, CAST(coalesce(sum(credits), 0) AS BIGINT) AS credits
+FROM r LEFT JOIN o ON o_custkey = c_custkey LEFT JOIN (SELECT l_orderkey, count(*) AS n, sum(credits) AS credits FROM i GROUP BY l_orderkey) ON l_orderkey = o_orderkey
+GROUP BY section, c_custkey
+""")
+def sections_typed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections numbered over all lines, lines brought to one wide row each, then counted by kind."""
+    lines = student_lines(spark, sf_dir)
+    typed = sections.sparse_lines(sections.section_ids(lines, F.col("value").startswith("S,")))
+    kind = lambda k: F.count_if(F.col("Type") == k)
+    return typed.groupBy("section").agg(
+        F.max("StudentId").alias("student"), F.count(F.lit(1)).alias("n_lines"), kind("TH").alias("n_terms"), kind("C").alias("n_classes"), F.coalesce(F.sum("ClassCredits"), F.lit(0)).alias("credits")
+    )
+
+
 @query("""
 SELECT conv_id, count(*) AS n_turns, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) AS BIGINT) AS n_user,
        CAST(sum(length(text)) AS BIGINT) AS n_chars, arg_max(role, turn) AS last_role
@@ -209,7 +283,7 @@ SELECT event_id AS first, lead(event_id) OVER (ORDER BY event_id) AS next FROM e
 """)
 def header_ranges_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     headers = table(spark, sf_dir, "events").where("event_type = 'signup'").select(F.col("event_id").alias("first"))
-    return header_ranges(headers, "first")
+    return sections.header_ranges(headers, "first")
 
 
 @query("SELECT min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY text")
@@ -220,37 +294,39 @@ def dedupe_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PEOPLE_SQL = """
-  SELECT doc_id AS id, regexp_replace(substr(text, 1, 40), '[^ -~]', '', 'g') AS first, regexp_replace(substr(text, 41, 40), '[^ -~]', '', 'g') AS last,
-         lang AS city, source AS zip, CAST(n_chars AS VARCHAR) AS street, n_chars AS field
-  FROM documents"""
-_PAIRS_SQL = """
-  SELECT a.id AS l, b.id AS r FROM p a JOIN p b
-    ON a.city = b.city AND substr(a.first, 1, 2) = substr(b.first, 1, 2) AND substr(a.last, 1, 1) = substr(b.last, 1, 1) AND a.id < b.id
+  SELECT c_custkey AS id, c_name AS first, c_mktsegment AS last, c_mktsegment AS city, CAST(c_nationkey AS VARCHAR) AS zip,
+         CAST(c_custkey AS VARCHAR) AS street, c_acctbal AS field, c_custkey % 3 AS source, TRY_CAST(c_nationkey AS INTEGER) AS block
+  FROM customer"""
+_LIKE_SQL = """
+    ON a.block = b.block AND substr(a.first, 1, 1) = substr(b.first, 1, 1) AND substr(a.last, 1, 1) = substr(b.last, 1, 1) AND a.id < b.id
   WHERE (CASE WHEN greatest(length(a.first), length(b.first)) = 0 THEN 1 ELSE 1 - levenshtein(a.first, b.first) / greatest(length(a.first), length(b.first)) END) >= 0.9
     AND (CASE WHEN greatest(length(a.last), length(b.last)) = 0 THEN 1 ELSE 1 - levenshtein(a.last, b.last) / greatest(length(a.last), length(b.last)) END) >= 0.9"""
+_PAIRS_SQL = f"SELECT a.id AS l, b.id AS r FROM p a JOIN p b {_LIKE_SQL}"
 _COMPONENTS_SQL = """
   e AS (SELECT l, r FROM m UNION SELECT r, l FROM m),
   w(id, other) AS (SELECT id, id FROM p UNION SELECT w.id, e.r FROM w JOIN e ON e.l = w.other),
   c AS (SELECT id, min(other) AS component FROM w GROUP BY id)"""
+COMPONENTS_SQL = f"WITH RECURSIVE p AS ({_PEOPLE_SQL}), m AS ({_PAIRS_SQL}), {_COMPONENTS_SQL} SELECT id, component FROM c"
 
 
 def people(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as records of people: names are plain characters of the text, the address is where it is from."""
-    plain = lambda start: F.regexp_replace(F.substring("text", start, 40), "[^ -~]", "")
-    rows = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("id"), plain(1).alias("first"), plain(41).alias("last"), F.col("lang").alias("city"), F.col("source").alias("zip"), F.col("n_chars").cast("string").alias("street"), F.col("n_chars").alias("field")
-    )
-    return rows.withColumns({"block_first": F.substring("first", 1, 2), "block_last": F.substring("last", 1, 1)})
+    """Customers as records of people: names are whole columns, the address is the nation, the segment and the key."""
+    rows = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("id"), F.col("c_name").alias("first"), F.col("c_mktsegment").alias("last"), F.col("c_mktsegment").alias("city"),
+        F.col("c_nationkey").cast("string").alias("zip"), F.col("c_custkey").cast("string").alias("street"), F.col("c_acctbal").alias("field"), (F.col("c_custkey") % 3).alias("source"),
+    )
+    return with_blocks(rows, "zip", "first", "last")
 
 
-BLOCKS, NAMES = ("city", "block_first", "block_last"), ("first", "last")
+#: The surveyed block: postal code and one first letter of each name.
+BLOCKS, NAMES = ("block_zip", "block_first", "block_last"), ("first", "last")
 
 
 @query(f"""
 WITH p AS ({_PEOPLE_SQL}),
-k AS (SELECT min(id) AS id, first, last, city FROM p GROUP BY first, last, city),
-m AS ({_PAIRS_SQL.replace("FROM p a JOIN p b", "FROM k a JOIN k b")}),
-x AS (SELECT k.id AS l, p.id AS r FROM p JOIN k USING (first, last, city) WHERE p.id <> k.id)
+k AS (SELECT min(id) AS id, first, last, block FROM p WHERE block IS NOT NULL AND first IS NOT NULL AND last IS NOT NULL GROUP BY first, last, block),
+m AS (SELECT a.id AS l, b.id AS r FROM k a JOIN k b {_LIKE_SQL}),
+x AS (SELECT k.id AS l, p.id AS r FROM p JOIN k USING (first, last, block) WHERE p.id <> k.id)
 SELECT l AS "left", r AS "right" FROM m UNION ALL SELECT l, r FROM x
 """)
 def dedupe_block_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,12 +334,41 @@ def dedupe_block_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(people(spark, sf_dir), BLOCKS, NAMES)
 
 
-@query(f"WITH RECURSIVE p AS ({_PEOPLE_SQL}), m AS ({_PAIRS_SQL}), {_COMPONENTS_SQL} SELECT id, component FROM c")
+@query(COMPONENTS_SQL)
 def dedupe_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = people(spark, sf_dir)
     return with_components(rows, matches(rows, BLOCKS, NAMES)).select("id", "component")
 
 
+@query(COMPONENTS_SQL.replace("AND a.id < b.id", "AND a.id < b.id AND a.source <> b.source"))
+def dedupe_sources_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where records of one source don't match each other."""
+    rows = people(spark, sf_dir)
+    return with_components(rows, matches(rows, BLOCKS, NAMES, source="source")).select("id", "component")
+
+
+@query(COMPONENTS_SQL)
+def dedupe_in_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second formulation: union-find over the nested records of each block, in Python."""
+    rows = people(spark, sf_dir).withColumnsRenamed({"first": "FirstName", "last": "LastName", "zip": "ZipCode"})
+    return deduplicated_in_blocks(rows, source=None)
+
+
+@query(f"""
+WITH p AS ({_PEOPLE_SQL})
+SELECT block, substr(first, 1, 1) || substr(last, 1, 1) AS letters, count(*) AS n, round(max(field), 6) AS most, min(id) AS least,
+       CAST(sum(CASE WHEN field < 0 THEN 1 ELSE 0 END) AS BIGINT) AS below
+FROM p GROUP BY ALL
+""")
+def dedupe_nested_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks nested in parts, an array operator over them, then unnested and counted."""
+    nested = nest(people(spark, sf_dir), BLOCKS, "Rows").withColumn("below", F.size(F.filter("Rows", lambda r: r["field"] < 0)))
+    counts = nested.groupBy(*BLOCKS).agg(F.sum("below").alias("below"))
+    rows = unnest(nested.drop("below"), "Rows").groupBy(*BLOCKS).agg(F.count(F.lit(1)).alias("n"), F.round(F.max("field"), 6).alias("most"), F.min("id").alias("least"))
+    both = rows.join(counts, list(BLOCKS))
+    return both.select(F.col("block_zip").alias("block"), F.concat("block_first", "block_last").alias("letters"), "n", "most", "least", "below")
+
+
 @query(f"""
 WITH RECURSIVE p AS ({_PEOPLE_SQL}), m AS ({_PAIRS_SQL}), {_COMPONENTS_SQL},
 j AS (SELECT c.component, p.*,
@@ -282,55 +387,6 @@ def dedupe_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged(connected, first="first", last="last", street="street", city="city", zip_code="zip", least=("field",))
 
 
-# The same over whole columns of customers, by the surveyed block: postal code and one first letter of each name.
-_CUSTOMERS_SQL = """
-  SELECT c_custkey AS id, c_name AS first, c_mktsegment AS last, c_mktsegment AS city, CAST(c_nationkey AS VARCHAR) AS zip,
-         CAST(c_custkey AS VARCHAR) AS street, c_acctbal AS field
-  FROM customer"""
-_BLOCK_SQL = "a.city = b.city AND substr(a.first, 1, 2) = substr(b.first, 1, 2)"
-_SURVEYED_SQL = "TRY_CAST(a.zip AS INTEGER) = TRY_CAST(b.zip AS INTEGER) AND substr(a.first, 1, 1) = substr(b.first, 1, 1)"
-
-
-def _of_customers(sql: str) -> str:
-    return sql.replace(_PEOPLE_SQL, _CUSTOMERS_SQL).replace(_BLOCK_SQL, _SURVEYED_SQL)
-
-
-def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as records of people: names are whole columns, the address is the nation, the segment and the key."""
-    rows = table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("id"), F.col("c_name").alias("first"), F.col("c_mktsegment").alias("last"), F.col("c_mktsegment").alias("city"),
-        F.col("c_nationkey").cast("string").alias("zip"), F.col("c_custkey").cast("string").alias("street"), F.col("c_acctbal").alias("field"),
-    )
-    return with_blocks(rows, "zip", "first", "last")
-
-
-SURVEYED = ("block_zip", "block_first", "block_last")
-
-
-@query(f"""
-WITH p AS (SELECT *, TRY_CAST(zip AS INTEGER) AS block FROM ({_CUSTOMERS_SQL}) WHERE first IS NOT NULL AND last IS NOT NULL),
-k AS (SELECT min(id) AS id, first, last, block, min(zip) AS zip FROM p WHERE block IS NOT NULL GROUP BY first, last, block),
-m AS ({_of_customers(_PAIRS_SQL).replace("FROM p a JOIN p b", "FROM k a JOIN k b")}),
-x AS (SELECT k.id AS l, p.id AS r FROM p JOIN k USING (first, last, block) WHERE p.id <> k.id)
-SELECT l AS "left", r AS "right" FROM m UNION ALL SELECT l, r FROM x
-""")
-def dedupe_customers_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matches(customers(spark, sf_dir), SURVEYED, NAMES)
-
-
-@query(_of_customers(SQL["dedupe_components"]))
-def dedupe_customers_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = customers(spark, sf_dir)
-    return with_components(rows, matches(rows, SURVEYED, NAMES)).select("id", "component")
-
-
-@query(_of_customers(SQL["dedupe_merge"]))
-def dedupe_customers_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = customers(spark, sf_dir)
-    connected = with_components(rows, matches(rows, SURVEYED, NAMES))
-    return merged(connected, first="first", last="last", street="street", city="city", zip_code="zip", least=("field",))
-
-
 @query("""
 SELECT 'supplier' AS source, s_nationkey AS nation, count(*) AS n, round(avg(s_acctbal), 6) AS mean FROM supplier GROUP BY s_nationkey
 UNION ALL

@@ -4,6 +4,7 @@ import pandas as pd
 import pytest
 
 from shardloom.functions.scalars import could_be_similar, first_not_null, name_similarity, parts_score, sequence_ratio, summed
+from shardloom.operators import dedupe
 from shardloom.operators.components import connected_components
 from shardloom.operators.dedupe import best_of_groups, deduplicated, deduplicated_in_blocks, matches, merged, with_blocks, with_components
 from shardloom.plans.queries import QUERIES
@@ -115,6 +116,15 @@ def test_customers_are_compared_whole(spark, tmp_path):
             if None not in (n, m, z, y) and z == y and n[0] == m[0] and 1 - edits(n, m) / max(len(n), len(m)) >= 0.9:
                 a, b = wanted[i], wanted[j]
                 wanted = {k: min(a, b) if c in (a, b) else c for k, c in wanted.items()}
-    found = {x["id"]: x["component"] for x in QUERIES["dedupe_customers_components"](spark, str(tmp_path)).collect()}
+    found = {x["id"]: x["component"] for x in QUERIES["dedupe_components"](spark, str(tmp_path)).collect()}
     assert found == wanted and 3 < len(set(wanted.values())) < len(wanted)
-    assert QUERIES["dedupe_customers_merge"](spark, str(tmp_path)).count() == len(set(wanted.values()))
+    assert QUERIES["dedupe_merge"](spark, str(tmp_path)).count() == len(set(wanted.values()))
+
+
+def test_nest_and_unnest(spark):
+    rows = [(i, i % 3 or None, f"n{i}") for i in range(50)]
+    df = spark.createDataFrame(rows, "id int, block int, name string").repartition(4)
+    nested = dedupe.nest(df, ["block"], "Rows", part_rows=5)
+    assert all(len(r["Rows"]) for r in nested.collect()) and nested.groupBy("block").count().where("count > 1").count() == 3
+    assert sorted(tuple(r) for r in dedupe.unnest(nested, "Rows").select("id", "block", "name").collect()) == sorted(rows)
+    assert dedupe.nest(df.limit(0), ["block"]).count() == 0

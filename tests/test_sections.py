@@ -113,3 +113,13 @@ def test_ordered_aggregate_keeps_order(spark):
     out = ordered_aggregate(df, ["h"], fold, lambda parts: b",".join(parts), fan_in=2).collect()
     assert len(out) == 1 and out[0]["state"].decode().split(",") == [x["v"] for x in df.orderBy("h").collect()]
     assert ordered_aggregate(df.limit(0), ["h"], fold, lambda parts: b",".join(parts)).count() == 0
+
+
+def test_header_ranges(spark):
+    from shardloom.operators.sections import header_ranges
+
+    places = [7 * i % 101 for i in range(101)] + [5]
+    df = spark.createDataFrame([(p,) for p in places], "at long").repartition(6)
+    wanted = sorted(zip(sorted(places), [*sorted(places)[1:], None]), key=str)
+    assert sorted(((r["at"], r["next"]) for r in header_ranges(df, "at").collect()), key=str) == wanted
+    assert header_ranges(df.limit(0), "at").count() == 0

@@ -115,6 +115,35 @@ def test_states_merge_far_from_zero(spark):
         assert r["n"] == len(x) and math.isclose(r["v"], np.var(x), rel_tol=1e-9)
 
 
+def test_states_of_several_columns_and_null_keys(spark):
+    rows = [(None if i % 4 == 0 else i % 3, float(i), None if i % 5 else 2.0 * i, None) for i in range(200)]
+    df = spark.createDataFrame(rows, "k int, x double, y double, z double").repartition(5)
+    states = partial_states(df, ["k"], "x", "y", "z")
+    merged = {(r["k"], r["value"]): r for r in merge_states(states, ["k", "value"]).collect()}
+    for k in (None, 0, 1, 2):
+        for at, c in ((1, "x"), (2, "y"), (3, "z")):
+            own = [r[at] for r in rows if r[0] == k and r[at] is not None]
+            got = merged[k, c]
+            assert got["n"] == len(own) and got["max"] == (max(own) if own else None)
+            assert math.isclose(got["m2"], len(own) * np.var(own) if own else 0.0, rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_running_stats_of_spans(spark, monkeypatch):
+    rows = [(i % 2, i // 3, i, None if i % 7 == 0 else 1e6 + (i * 37 % 11), float(i * 13 % 17)) for i in range(120)]
+    df = spark.createDataFrame(rows, "k int, at long, tie long, x double, y double").repartition(4)
+    monkeypatch.setattr(variants.running_sums, "__defaults__", (None, 7, None))
+    out = {r["tie"]: r for r in variants.running_stats(df, ["k"], "at", ["tie"], "x", "y", "x").collect()}
+    for k in (0, 1):
+        own = []
+        top = -1.0
+        for _, _, tie, x, y in sorted(r for r in rows if r[0] == k):
+            own += [x] if x is not None else []
+            top = max(top, y)
+            r = out[tie]
+            assert r["max_of_D"] == top and (r["mean_of_C"] is None) == (not own)
+            assert not own or (math.isclose(r["mean_of_C"], np.mean(own), rel_tol=1e-12) and math.isclose(r["var_of_E"], np.var(own), rel_tol=1e-6, abs_tol=1e-6))
+
+
 def test_strict_comparison():
     import pandas as pd
 
