@@ -75,8 +75,8 @@ def encode_decode(docs: DataFrame, tokenizer_file: str, finish: Callable = full_
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("body"))
     buckets = bucket_count(docs, text_col)
-    # About a partition for each key: a bucket has the text of two chunks.
-    sent = word_chunks(rows, buckets).repartition(3 * buckets, "key")
+    # About a partition for each chunk and bucket.
+    sent = word_chunks(rows, buckets).repartition(2 * buckets, "key")
     pieces = docs.sparkSession.sparkContext.broadcast(piece_rows(tokenizer_file))
 
     def find(rows: pa.Table) -> pa.Table:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import slices
 
 #: Bytes of text for which there is one bucket of words.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 6 << 20
 #: Rows of both kinds: key is the chunk or the bucket the row is for.
 CHUNK_FIELDS = "key bigint, is_words boolean, chunk bigint, bucket bigint, n bigint, a binary, b binary, c binary"
 #: Names of the same.
@@ -65,9 +65,9 @@ def unpack_floats(data: bytes) -> np.ndarray:
 
 
 def bucket_count(docs: DataFrame, text_col: str) -> int:
-    """Buckets of words for these documents: by their bytes, and at least as many as shuffle partitions."""
+    """Buckets of words for these documents: by their bytes alone, so work doesn't grow with the number of partitions."""
     size = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
-    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    return max(1, -(-size // BUCKET_BYTES))
 
 
 def word_chunks(docs: DataFrame, buckets: int, change: Callable[[bytes], bytes] | None = None, counted: str | None = None) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chunks import BUCKET_BYTES, pack, squeeze, unpack, unsqueeze
+from .chunks import bucket_count, pack, squeeze, unpack, unsqueeze
 from .common import mixed, slices, stored, table, utf8, windows
 
 #: Fewest words of a repeated passage, and words of a minimiser's span.
@@ -279,8 +279,7 @@ def repeats(docs: DataFrame, least: int = LEAST, span: int = SPAN, id_col: str =
     """
     docs = docs.drop(*[n for n, _ in ADDED])
     docs = docs if cut else docs.select(id_col, text_col)
-    size = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    buckets = bucket_count(docs, text_col)
     given = docs.schema.fields if cut else [docs.schema[id_col]]
     text_at = [f.name for f in given].index(text_col) if cut else None
     # The rows as they came, without the text, which is in body.
