@@ -181,6 +181,15 @@ def test_cut_removes_all_but_one_copy(spark, tmp_path):
     assert clean and all((t or "") == (same[i] or "") for i, t in after if i in clean)
 
 
+def test_repeats_with_clashing_names(spark):
+    passage = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(2, passage + " two", "r", 7, "o"), (1, "one " + passage, "r", 8, "o"), (None, None, "r", 9, None)], "doc_id long, text string, row string, body int, order string")
+    cut = {r["doc_id"]: r for r in repeats(docs, cut=True).collect()}
+    assert list(cut[1].asDict())[:5] == docs.columns
+    assert (cut[1]["text"], cut[1]["body"], cut[1]["order"], cut[1]["n_removed"], cut[1]["n_repeated"]) == ("one " + passage, 8, "o", 0, 60)
+    assert (cut[2]["text"], cut[2]["kept_in"], cut[2]["n_removed"]) == ("two", [1], 60) and (cut[None]["text"], cut[None]["row"], cut[None]["order"]) == ("", "r", None)
+
+
 def windows_of(t):
     w = (t or "").split()
     return [tuple(w[j : j + 50]) for j in range(len(w) - 49)]

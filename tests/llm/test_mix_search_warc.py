@@ -34,6 +34,7 @@ def targets(sizes):
 
 def test_mix_takes_each_budget(spark, monkeypatch):
     monkeypatch.setattr(mixing, "RANGE_ROWS", 7)
+    monkeypatch.setattr(mixing, "RUN", 2)
     docs = documents(spark, corpus())
     out = mix(docs).collect()
     assert len(out) == len(corpus())
@@ -62,6 +63,17 @@ def test_mix_of_little(spark):
     assert [r["taken"] for r in mix(documents(spark, [(1, None), (2, "")])).collect()] == [0, 0]
 
 
+def test_mix_with_clashing_names(spark):
+    """Columns bear names that the operator uses itself; rows that differ only there are rows of their own."""
+    rows = [(i % 4, f"a b c {i % 3}", "st"[i % 2], f"d{i}", "r", i, [i], "w") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, doc string, row string, whole int, parts array<int>, words string")
+    out = mixed_documents(docs)
+    assert out.columns == docs.columns
+    found = out.collect()
+    assert {r["doc"]: (r["doc_id"], r["whole"], r["parts"], r["words"]) for r in found}.items() <= {r[3]: (r[0], r[5], r[6], r[7]) for r in rows}.items()
+    assert sum(len(r["text"].split()) for r in found) == sum(r["taken"] for r in mix(docs).collect())
+
+
 def brute_top(rows, k, scale=256):
     import math
 
