@@ -160,3 +160,11 @@ def best_of_groups(records: DataFrame, group: str, score: Column, ties: Sequence
     """The best row of each group, whole, by score and then by ties; by a window, so use merged() for large groups."""
     best = F.row_number().over(Window.partitionBy(group).orderBy(score.desc(), *ties))
     return records.withColumn("__best", best).where("__best = 1").drop("__best")
+
+
+def label_check(records: DataFrame, label: str = "SecretKey", component: str = "component") -> DataFrame:
+    """Where components and known labels disagree: kind (split: a label in several components; mixed: a component of
+    several labels), name (the label's or component's, as text), parts (of how many). Null labels are left out."""
+    pairs = records.where(F.col(label).isNotNull()).select(F.col(label).alias("l"), F.col(component).alias("c")).distinct()
+    of = lambda kind, c: pairs.groupBy(c).agg(F.count(F.lit(1)).alias("parts")).where("parts > 1").select(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("name"), "parts")
+    return of("split", "l").unionByName(of("mixed", "c"))

@@ -46,6 +46,14 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[s
     return running_sums(df, keys, order, ties, {name: value}, span_rows=span_rows)
 
 
+def sorted_locally(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """df with each key's rows in one partition, sorted there: the keys' rows come in order, one key after another.
+
+    A key is one task's; for keys that are too large for one, see running_sums.
+    """
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order)
+
+
 def zip_with_index(df: DataFrame, order: Sequence[str], name: str = "rowId", offset: int = 1) -> DataFrame:
     """df with a dense number for each row, by a total order; sorted by it.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import name_similarity
 from ..operators import sections, stats, variants
-from ..operators.dedupe import deduplicated_in_blocks, matches, merged, nest, unnest, with_blocks, with_components
+from ..operators.dedupe import deduplicated_in_blocks, label_check, matches, merged, nest, unnest, with_blocks, with_components
 from ..operators.ordered import running_sum
 from ..sources.readers import read_parquet, tagged_union
 
@@ -399,6 +399,38 @@ def union_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("source", "nation").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("balance"), 6).alias("mean"))
 
 
+@query("""
+SELECT o_orderkey, CAST(o_orderdate + INTERVAL 4 MONTH AS DATE) AS next_term, CAST(o_orderdate - INTERVAL 11 MONTH AS DATE) AS last_term FROM orders
+""")
+def orders_next_term(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates moved by months, to the month's end at most."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.add_months("o_orderdate", 4).alias("next_term"), F.add_months("o_orderdate", -11).alias("last_term"))
+
+
+@query("""
+SELECT event_id, last_value(event_type) OVER w AS last_type, count(*) OVER w AS n
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)
+""")
+def events_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A window of so many rows around each."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-3, 3)
+    return table(spark, sf_dir, "events").select("event_id", F.last("event_type").over(w).alias("last_type"), F.count(F.lit(1)).over(w).alias("n"))
+
+
+@query(f"""
+{COMPONENTS_SQL.replace("SELECT id, component FROM c", "")},
+q AS (SELECT DISTINCT c.component, p.last || '/' || p.zip AS label FROM c JOIN p USING (id))
+SELECT 'split' AS kind, label AS name, count(*) AS parts FROM q GROUP BY label HAVING count(*) > 1
+UNION ALL
+SELECT 'mixed', CAST(component AS VARCHAR), count(*) FROM q GROUP BY component HAVING count(*) > 1
+""")
+def dedupe_label_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components held against labels."""
+    rows = people(spark, sf_dir)
+    connected = with_components(rows, matches(rows, BLOCKS, NAMES))
+    return label_check(connected.withColumn("label", F.concat_ws("/", "last", "zip")), "label")
+
+
 @query("""
 SELECT p_partkey, round(1 - levenshtein(p_name, p_type) / greatest(length(p_name), length(p_type)), 6) AS similarity FROM part
 """)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterable
 
+import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -57,3 +61,23 @@ def register(df: DataFrame, name: str) -> DataFrame:
     return df
 
 
+
+
+def to_frame(df: DataFrame, most_rows: int) -> pd.DataFrame:
+    """A small table as pandas, for a report or a test; one of more than most_rows rows raises before it is fetched whole."""
+    found = df.limit(most_rows + 1).toPandas()
+    if len(found) > most_rows:
+        raise ValueError(f"more than {most_rows} rows")
+    return found
+
+
+def write_answers(path: str, name: str, answers: pd.DataFrame) -> str:
+    """Expected results as one parquet file in a local folder, written without Spark; gives its path."""
+    os.makedirs(path, exist_ok=True)
+    at = os.path.join(path, f"{name}.parquet")
+    pq.write_table(pa.Table.from_pandas(answers, preserve_index=False), at)
+    return at
+
+
+def read_answers(path: str, name: str) -> pd.DataFrame:
+    return pq.read_table(os.path.join(path, f"{name}.parquet")).to_pandas()
