@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .chunks import bucket_count, pack, squeeze, unpack, unsqueeze
 from .common import mixed, slices, stored, table, utf8, windows
@@ -50,10 +51,11 @@ class Layout:
 class Words(Layout):
     """The same with the words: numbers into the chunk's distinct words, and hashes."""
 
-    def __init__(self, lengths: np.ndarray, ids: np.ndarray, of_id: np.ndarray):
+    def __init__(self, lengths: np.ndarray, ids: np.ndarray, distinct: list[bytes]):
         super().__init__(lengths)
-        self.ids, self.of_id = ids, of_id
-        self.hashes = of_id[ids]
+        self.ids, self.distinct = ids, distinct
+        self.of_id = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), _U64, len(distinct))
+        self.hashes = self.of_id[ids]
 
     @classmethod
     def split(cls, texts: list[bytes]) -> Words:
@@ -66,7 +68,15 @@ class Words(Layout):
         order = np.argsort(-np.bincount(ids, minlength=len(distinct)), kind="stable")
         rank = np.empty(len(distinct), np.int64)
         rank[order] = np.arange(len(distinct))
-        return cls(lengths, rank[ids], np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), _U64, len(distinct))[order])
+        return cls(lengths, rank[ids], [distinct[i] for i in order.tolist()])
+
+    def packed(self) -> tuple[bytes, bytes, bytes]:
+        return pack(self.lengths), pack(self.ids), squeeze(b"\n".join(self.distinct))
+
+    @classmethod
+    def opened(cls, lengths: bytes, ids: bytes, distinct: bytes) -> Words:
+        words = unsqueeze(distinct)
+        return cls(unpack(lengths), unpack(ids), words.split(b"\n") if words else [])
 
     def inside(self, width: int) -> np.ndarray:
         """Places at which `width` words of one text begin."""
@@ -260,6 +270,10 @@ def _table(rows: list[tuple]) -> pa.Table:
     return pa.Table.from_batches([_batch(rows)])
 
 
+def _no_rows(schema: T.StructType) -> pa.Table:
+    return pa.Table.from_batches([], to_arrow_schema(schema))
+
+
 def _of(rows: list[dict], kind: str) -> list[dict]:
     return [r for r in rows if r["kind"] == kind]
 
@@ -293,9 +307,9 @@ def repeats(docs: DataFrame, least: int = LEAST, span: int = SPAN, id_col: str =
             number += 1
             words = Words.split(batch.column("body").to_pylist())
             keys, times = np.unique(minimisers(words, least, span)[3], return_counts=True)
-            order = np.array(batch.column("order"))
-            out = [(number, WORDS, number, -1, batch.num_rows, pack(words.lengths), pack(words.ids), words.of_id.tobytes(), pack(order))]
-            out.append((number, ROWS, number, -1, batch.num_rows, _ipc(batch if cut else batch.select(["row", "order"])), pack(words.lengths), b"", b""))
+            out = [(number, WORDS, number, -1, batch.num_rows, *words.packed(), _ipc(batch.select(["order"] if cut else ["row", "order"])))]
+            if cut:
+                out.append((number, ROWS, number, -1, batch.num_rows, _ipc(batch), pack(words.lengths), b"", b""))
             of = _buckets(keys, buckets)
             by = np.argsort(of, kind="stable")
             for bucket, at in _runs(of[by]):
@@ -324,7 +338,7 @@ def repeats(docs: DataFrame, least: int = LEAST, span: int = SPAN, id_col: str =
     def extend(own: pa.Table, found: pa.Table) -> pa.Table:
         """The records of a chunk's live suffixes, and where its windows stand."""
         r = own.to_pylist()[0]
-        words, order = Words(unpack(r["a"]), unpack(r["b"]), np.frombuffer(r["c"], _U64)), unpack(r["d"])
+        words, order = Words.opened(r["a"], r["b"], r["c"]), np.array(_open(r["d"]).column("order"))
         first, last, place, key = minimisers(words, least, span)
         found = found.to_pylist()
         alive = np.concatenate([np.frombuffer(f["a"], _U64) for f in found] or [np.empty(0, _U64)])
@@ -362,6 +376,8 @@ def repeats(docs: DataFrame, least: int = LEAST, span: int = SPAN, id_col: str =
         doc_of = order[words.owner[first]] if len(first) else np.empty(0, np.int64)
         doc = np.minimum.reduceat(doc_of[by], starts)[turn] if len(starts) else doc_of
         out = [(r["chunk"], PLACES, r["chunk"], -1, len(first), pack(first), pack(record), pack(n[chosen]), b"")]
+        if not cut:
+            out.append((r["chunk"], ROWS, r["chunk"], -1, r["n"], r["d"], r["a"], b"", b""))
         for b, at in _runs(bucket[chosen]):
             c = chosen[at]
             ids = words.ids[_spread(first[c], sizes[c])]
@@ -369,11 +385,14 @@ def repeats(docs: DataFrame, least: int = LEAST, span: int = SPAN, id_col: str =
         return _table(out)
 
     plain = chunks.where(F.col("kind") == WORDS)
-    extended = stored(plain.groupBy("key").cogroup(live.groupBy("key")).applyInArrow(extend, EXCHANGE), "suffix-records")
+    # Records for buckets and places for chunks are one exchange, which both later steps read.
+    extended = plain.groupBy("key").cogroup(live.groupBy("key")).applyInArrow(extend, EXCHANGE).repartition(2 * buckets, "key")
 
     def compare(rows: pa.Table) -> pa.Table:
         """Tells each chunk which windows of its records other suffixes have too, and which document is the first."""
-        rows = sorted(rows.to_pylist(), key=lambda r: r["chunk"])
+        rows = sorted(_of(rows.to_pylist(), RECORDS), key=lambda r: r["chunk"])
+        if not rows:
+            return _table([])
         records = Records.joined(rows, least)
         again, first, number = matched(records, least, span)
         ends = np.cumsum(records.n)[np.cumsum([r["n"] for r in rows]) - 1]
@@ -383,16 +402,19 @@ def repeats(docs: DataFrame, least: int = LEAST, span: int = SPAN, id_col: str =
             out.append((r["chunk"], FOUND, r["chunk"], r["bucket"], e - s, squeeze(np.packbits(again[s:e]).tobytes()), pack(first[at]), pack(number[at]), b""))
         return _table(out)
 
-    found = extended.where(F.col("kind") == RECORDS).groupBy("key").applyInArrow(compare, EXCHANGE)
+    found = extended.groupBy("key").applyInArrow(compare, EXCHANGE)
     wanted = T.StructType([*given, *[T.StructField(n, t) for n, t in ADDED]])
 
     def mark(own: pa.Table, found: pa.Table) -> pa.Table:
         """Marks the repeated words of a chunk's texts, and which of them go."""
-        own, found = own.to_pylist()[0], found.to_pylist()
-        batch, texts = _open(own["a"]), Layout(unpack(own["b"]))
-        places, order = _of(found, PLACES)[0], np.array(batch.column("order"))
-        first, record, n = (unpack(places[c]) for c in "abc")
-        known = sorted(_of(found, FOUND), key=lambda r: r["bucket"])
+        rows = own.to_pylist() + found.to_pylist()
+        if not (places := _of(rows, PLACES)):
+            return _no_rows(wanted)
+        as_given = _of(rows, ROWS)[0]
+        batch, texts = _open(as_given["a"]), Layout(unpack(as_given["b"]))
+        order = np.array(batch.column("order"))
+        first, record, n = (unpack(places[0][c]) for c in "abc")
+        known = sorted(_of(rows, FOUND), key=lambda r: r["bucket"])
         total = int(n.sum())
         again = np.concatenate([np.unpackbits(np.frombuffer(unsqueeze(r["a"]), np.uint8), count=r["n"]) for r in known] or [np.empty(0, np.uint8)]).astype(bool)
         if len(again) != total:
@@ -433,8 +455,8 @@ def repeats(docs: DataFrame, least: int = LEAST, span: int = SPAN, id_col: str =
         added = [pa.array(texts.lengths), pa.array(total(repeated), pa.int64()), pa.array(total(removed), pa.int64()), spans_of(repeated), spans_of(removed), pa.array(kept_in, pa.list_(pa.int64()))]
         return pa.table([*columns, *added], wanted.names)
 
-    told = extended.where(F.col("kind") == PLACES).unionByName(found).groupBy("key")
-    return chunks.where(F.col("kind") == ROWS).groupBy("key").cogroup(told).applyInArrow(mark, wanted)
+    told = found.unionByName(chunks.where(F.col("kind") == ROWS)) if cut else found
+    return extended.groupBy("key").cogroup(told.groupBy("key")).applyInArrow(mark, wanted)
 
 
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
