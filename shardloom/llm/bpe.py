@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Callable
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,18 @@ def piece_rows(tokenizer_file: str) -> pa.Table:
     return pa.table({"id": pa.array(vocab.values(), pa.int64()), "piece": pa.array([p.encode() for p in vocab], pa.binary())})
 
 
+@cache
+def encoder(tokenizer_file: str):
+    """The library's tokenizer without truncation and padding, read once in a worker."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_file)
+    t.no_truncation()
+    t.no_padding()
+    return t
+
+
 def joined_pieces(ids: np.ndarray, pieces: pa.Table) -> tuple[np.ndarray, list[bytes]]:
     """The distinct ids, rising, and their pieces, by a join; an id that the table lacks raises."""
     distinct = np.unique(ids)
@@ -85,13 +98,7 @@ def encode_decode(docs: DataFrame, tokenizer_file: str, finish: Callable = full_
         names, kinds = ["chunk", "bucket", "n", "ids"], [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         if not rows:
             return pa.table([pa.array([], t) for t in kinds], names)
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_file(tokenizer_file)
-        t.no_truncation()
-        t.no_padding()
-        own = [words_of(r) for r in rows]
+        t, own = encoder(tokenizer_file), [words_of(r) for r in rows]
         distinct = list(dict.fromkeys(w for words in own for w in words))
         ids: dict[bytes, list[int]] = {}
         for at in range(0, len(distinct), 4096):
