@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .chunks import bucket_count, in_place, open_chunk, pack, unpack, word_chunks, words_of
 from .common import table, utf8
 
+#: Words whose ids and texts are put together at once, unless one document has more.
+SPAN_WORDS = 1 << 17
 ENCODED = "doc_id bigint, ids array<int>, decoded string"
 
 
@@ -80,7 +82,7 @@ def full_rows(ids: pa.Array, flat: np.ndarray, counts: np.ndarray, decoded: list
 def encode_decode(docs: DataFrame, tokenizer_file: str, finish: Callable = full_rows, schema: str = ENCODED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its ids without added special tokens, and the text that they decode to.
 
-    finish makes the rows of a chunk from (doc ids, all ids in a row, ids per document, decoded texts as bytes);
+    finish makes the rows of some documents of a chunk from (doc ids, all ids in a row, ids per document, decoded texts as bytes);
     schema is theirs. Null text counts as empty and has no ids; special strings in a text are special tokens, as by
     the library's default; ids may be null or repeated, and repeated rows come out as often as they go in. An empty
     table gives an empty result. Other columns of docs are ignored. Documents must be read in the same order if an
@@ -130,17 +132,23 @@ def encode_decode(docs: DataFrame, tokenizer_file: str, finish: Callable = full_
         texts, at_id = [b""] * len(which), np.searchsorted(distinct, all_ids).tolist()
         for i, s, k in zip(order.tolist(), (np.cumsum(sizes) - sizes).tolist(), sizes.tolist(), strict=True):
             texts[i] = b" ".join([piece[x] for x in at_id[s : s + k]])
-        n = counts[at]
-        flat = all_ids[np.repeat(start[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
         ends = np.r_[0, np.cumsum(lengths)]
-        before = np.r_[0, np.cumsum(n)]
-        ranks = at.tolist()
         some_empty = not counts.all()
-        decoded = []
-        for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-            parts = [texts[i] for i in ranks[s:e]]
-            decoded.append(b" ".join([p for p in parts if p] if some_empty else parts))
-        return pa.Table.from_batches([finish(info.column("doc_id"), flat, np.diff(before[ends]), decoded)])
+        out, first = [], 0
+        while first < len(lengths):
+            last = max(first + 1, int(np.searchsorted(ends, ends[first] + SPAN_WORDS, "right")) - 1)
+            here = at[ends[first] : ends[last]]
+            n = counts[here]
+            flat = all_ids[np.repeat(start[here] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+            before = np.r_[0, np.cumsum(n)]
+            ranks, local = here.tolist(), ends[first : last + 1] - ends[first]
+            decoded = []
+            for s, e in zip(local[:-1].tolist(), local[1:].tolist(), strict=True):
+                parts = [texts[i] for i in ranks[s:e]]
+                decoded.append(b" ".join([p for p in parts if p] if some_empty else parts))
+            out.append(finish(info.column("doc_id").slice(first, last - first), flat, np.diff(before[local]), decoded))
+            first = last
+        return pa.Table.from_batches(out)
 
     # The rows for chunks and for buckets are one exchange, which both sides read.
     return sent.groupBy("key").cogroup(found.groupBy("chunk")).applyInArrow(place, schema)

@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +32,14 @@ CHUNK_FIELDS = "key bigint, is_words boolean, chunk bigint, bucket bigint, n big
 CHUNK_NAMES = ["key", "is_words", "chunk", "bucket", "n", "a", "b", "c"]
 
 
+class Numbers(dict):
+    """Numbers words in the order they are first looked up."""
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
+
+
 def squeeze(data: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(data)
 
@@ -43,17 +50,17 @@ def unsqueeze(data: bytes) -> bytes:
 
 def pack(x: np.ndarray) -> bytes:
     """An array of whole numbers, its bytes by place, compressed."""
-    x = np.ascontiguousarray(x, np.int64)
+    x = np.asarray(x)
     width = next(w for w in (1, 2, 4, 8) if w == 8 or not len(x) or 0 <= x.min() and int(x.max()) < 1 << (8 * w))
-    x = x.astype(f"<u{width}" if width < 8 else "<i8")
+    x = np.ascontiguousarray(x, f"<u{width}" if width < 8 else "<i8")
     planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, width).T)
     return bytes([width]) + squeeze(planes.tobytes())
 
 
-def unpack(data: bytes) -> np.ndarray:
+def unpack(data: bytes, kind: type = np.int64) -> np.ndarray:
     width = data[0]
     planes = np.frombuffer(unsqueeze(data[1:]), np.uint8).reshape(width, -1)
-    return np.ascontiguousarray(planes.T).view(f"<u{width}" if width < 8 else "<i8").ravel().astype(np.int64)
+    return np.ascontiguousarray(planes.T).view(f"<u{width}" if width < 8 else "<i8").ravel().astype(kind)
 
 
 def pack_floats(x: np.ndarray) -> bytes:
@@ -82,28 +89,30 @@ def word_chunks(docs: DataFrame, buckets: int, change: Callable[[bytes], bytes]
         number = TaskContext.get().partitionId() << 32
         for batch in slices(batches, "body"):
             number += 1
-            texts = batch.column("body").to_pylist()
-            split = [(change(t) if change else t).split() for t in texts]
-            lengths = np.array([len(s) for s in split], np.int64)
-            place = dict.fromkeys(chain.from_iterable(split))
-            words = list(place)
-            place = dict(zip(words, range(len(words)), strict=True))
-            at = np.fromiter(map(place.__getitem__, chain.from_iterable(split)), np.int64, int(lengths.sum()))
+            # One text's words at a time: those of a chunk as objects take many times its bytes.
+            place, lengths, parts = Numbers(), np.empty(batch.num_rows, np.int64), []
+            for i, t in enumerate(batch.column("body")):
+                own = (change(t.as_py()) if change else t.as_py()).split()
+                lengths[i] = len(own)
+                parts.append(np.fromiter(map(place.__getitem__, own), np.int32, len(own)))
+            own, at, parts = None, np.concatenate(parts), None
+            words, place = list(place), None
             times = np.bincount(at, minlength=len(words))
             order = np.argsort(-times, kind="stable")
-            rank = np.empty(len(words), np.int64)
+            rank = np.empty(len(words), np.int32)
             rank[order] = np.arange(len(words))
+            at = rank[at]
             words = [words[i] for i in order.tolist()]
-            which = np.fromiter((zlib.crc32(w) for w in words), np.int64, len(words)) % buckets
+            which = (np.fromiter((zlib.crc32(w) for w in words), np.int64, len(words)) % buckets).astype(np.int32)
             ids = batch.column("doc_id")
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, pa.schema([batch.schema.field("doc_id"), ("counted", pa.bool_())])) as w:
-                flags = batch.column(counted) if counted else pa.array([True] * len(texts))
+                flags = batch.column(counted) if counted else pa.array([True] * len(lengths))
                 w.write_batch(pa.RecordBatch.from_arrays([ids, flags], ["doc_id", "counted"]))
-            rows = [(number, False, number, -1, len(texts), squeeze(sink.getvalue().to_pybytes()), pack(lengths), pack(np.concatenate([rank[at], which])))]
+            rows = [(number, False, number, -1, len(lengths), squeeze(sink.getvalue().to_pybytes()), pack(lengths), pack(np.concatenate([at, which])))]
             if counted:
                 of = np.repeat(np.array(flags), lengths)
-                seen = np.bincount(rank[at[of]], minlength=len(words))
+                seen = np.bincount(at[of], minlength=len(words))
             by = np.argsort(which, kind="stable")
             starts = np.flatnonzero(np.r_[True, which[by][1:] != which[by][:-1]][: len(by)])
             for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(by)], strict=False):
@@ -120,7 +129,7 @@ def open_chunk(row: dict) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.nd
     with pa.ipc.open_stream(unsqueeze(row["a"])) as r:
         ids = r.read_all().combine_chunks().to_batches()[0]
     lengths = unpack(row["b"])
-    both, total = unpack(row["c"]), int(lengths.sum())
+    both, total = unpack(row["c"], np.int32), int(lengths.sum())
     return ids, lengths, both[:total], both[total:]
 
 

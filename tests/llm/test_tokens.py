@@ -58,6 +58,52 @@ def test_encode_nothing(spark):
     assert [(r["ids"], r["decoded"]) for r in only] == [([], ""), ([], "")]
 
 
+def test_documents_are_put_together_in_spans(spark, tmp_path):
+    """A chunk of many documents comes in parts of bounded size, and one long document alone; results are the library's."""
+    import pyarrow as pa
+
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    rows = [(i, " ".join(["the", "of", f"x{i}"][(i + k) % 3] for k in range(i % 900))) for i in range(700)]
+    rows += [(700, ""), (701, "the " * 200_000), (702, None), (703, "end")]
+    docs = saved(spark, tmp_path / "d", rows).coalesce(1)
+
+    def handed(ids, flat, counts, decoded):
+        ends, data = counts.cumsum().tolist(), flat.astype("<u4").tobytes()
+        own = pa.array([data[4 * (e - c) : 4 * e] for e, c in zip(ends, counts.tolist(), strict=True)], pa.binary())
+        return pa.RecordBatch.from_arrays([ids, own, *(pa.array([x] * len(counts), pa.int64()) for x in (len(flat), len(counts)))], ["doc_id", "ids", "n", "docs"])
+
+    found = encode_decode(docs, P.path("word_bpe_49k.json"), handed, "doc_id bigint, ids binary, n bigint, docs bigint").collect()
+    wanted = {i: t.encode(text(x), add_special_tokens=False).ids for i, x in rows}
+    assert {r["doc_id"]: r["ids"] for r in found} == {i: b"".join(x.to_bytes(4, "little") for x in ids) for i, ids in wanted.items()} and len(found) == len(rows)
+    assert max(r["n"] for r in found if r["docs"] > 1) < sum(len(w) for w in wanted.values()) / 2
+    decoded = {r["doc_id"]: r["decoded"] for r in encode_decode(docs, P.path("word_bpe_49k.json")).collect()}
+    assert decoded == {i: t.decode(ids, skip_special_tokens=False) for i, ids in wanted.items()}
+
+
+def test_words_of_a_chunk_are_split_text_by_text(monkeypatch):
+    """Splitting a chunk holds the words of one text as objects, not those of all."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from shardloom.llm import chunks
+
+    monkeypatch.setattr(chunks, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    run = chunks.word_chunks(SimpleNamespace(mapInArrow=lambda f, schema: f), 5)
+    texts = [" ".join(f"w{(i * k) % 5000}" for k in range(500)).encode() for i in range(1000)]
+    batch = pa.record_batch([pa.array(range(1000), pa.int64()), pa.array(texts, pa.binary())], ["doc_id", "body"])
+    tracemalloc.start()
+    rows = [r for b in run(iter([batch])) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    _, lengths, at, which = chunks.open_chunk(rows[0])
+    words = {r["bucket"]: iter(chunks.words_of(r)) for r in rows[1:]}
+    ranked = [next(words[b]) for b in which.tolist()]
+    assert [ranked[i] for i in at.tolist()] == [w for t in texts for w in t.split()] and lengths.tolist() == [500] * 1000
+    assert peak < 6 * sum(map(len, texts))
+
+
 RANKS = (P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
 
 
