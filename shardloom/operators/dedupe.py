@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import could_be_similar, name_similarity, parts_score
 from ..session import checkpoints
+from .alike import Keys, candidates
 from .components import connected_components
 
 #: Names match from this similarity on (fixed value).
@@ -47,23 +48,29 @@ def matches(
 ) -> DataFrame:
     """left, right: pairs of records of one block all of whose names are alike, as far as they are needed to connect them.
 
-    Records of one block with equal names are one class; a class is linked by its smallest id to the others. Classes are
-    joined on the block, and pairs that lengths rule out aren't compared (with name_similarity). With a source column,
+    Records of one block with equal names are one class; a class is linked by its smallest id to the others. With
+    name_similarity, only classes that share a key of the name with the most values are compared (alike.candidates; that
+    name is found by a scan at once); otherwise, classes of a block are compared with one another. With a source column,
     records of one source don't match each other, so classes are also kept apart by source and linked where they differ.
     Null blocks and null names match nothing; one record alone gives no pair.
     """
     own = [source] if source else []
     classes = records.dropna(subset=[*blocks, *names]).groupBy(*blocks, *names, *own).agg(F.min(id_col).alias("__id"))
     a, b = classes.alias("a"), classes.alias("b")
-    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in blocks] + [F.col("a.__id") < F.col("b.__id")]
+    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in blocks]
     if source:
         on.append(~F.col(f"a.{source}").eqNullSafe(F.col(f"b.{source}")))
     if similarity is name_similarity:
         on += [could_be_similar(F.col(f"a.{n}"), F.col(f"b.{n}"), threshold) for n in names]
         on += [name_similarity(F.col(f"a.{n}"), F.col(f"b.{n}")) >= threshold for n in names]
-        pairs = a.join(b, on)
+    if similarity is name_similarity and names and Keys(threshold).usable:
+        seen = records.agg(*[F.struct(F.approx_count_distinct(n), F.coalesce(F.max(F.length(n)), F.lit(0))) for n in names]).first()
+        _, longest, name = max((*s, n) for s, n in zip(seen, names, strict=True))
+        near = candidates(classes, blocks, [n for n in names if n != name], name, threshold, longest, "__id").alias("p")
+        pairs = near.join(a, F.col("p.left") == F.col("a.__id")).join(b, [F.col("p.right") == F.col("b.__id"), *on])
     else:
-        pairs = a.join(b, on)
+        pairs = a.join(b, [*on, F.col("a.__id") < F.col("b.__id")])
+    if similarity is not name_similarity:
         for n in names:
             pairs = pairs.where(similarity(F.col(f"a.{n}"), F.col(f"b.{n}")) >= threshold)
     pairs = pairs.select(F.col("a.__id").alias("left"), F.col("b.__id").alias("right"))

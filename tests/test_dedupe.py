@@ -2,9 +2,11 @@ import random
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from shardloom.functions.scalars import could_be_similar, first_not_null, name_similarity, parts_score, sequence_ratio, summed
 from shardloom.operators import dedupe
+from shardloom.operators.alike import Keys, candidate_pairs, candidates
 from shardloom.operators.components import connected_components
 from shardloom.operators.dedupe import best_of_groups, deduplicated, deduplicated_in_blocks, matches, merged, with_blocks, with_components
 from shardloom.plans.queries import QUERIES
@@ -128,3 +130,56 @@ def test_nest_and_unnest(spark):
     assert all(len(r["Rows"]) for r in nested.collect()) and nested.groupBy("block").count().where("count > 1").count() == 3
     assert sorted(tuple(r) for r in dedupe.unnest(nested, "Rows").select("id", "block", "name").collect()) == sorted(rows)
     assert dedupe.nest(df.limit(0), ["block"]).count() == 0
+
+
+def edited(r, names, most):
+    """names, and each three times with up to so many edits of its length, and two more."""
+    out = list(names)
+    for b in names * 3:
+        for _ in range(r.randrange(int(most * len(b)) + 2)):
+            p, o = r.randrange(len(b) + 1), r.randrange(3)
+            b = b[:p] + "xy"[o % 2] * (o < 2) + b[p + (o > 0) :]
+        out.append(b)
+    return out
+
+
+def similar(a, b, threshold):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return not max(len(a), len(b)) or 1 - row[-1] / max(len(a), len(b)) >= threshold
+
+
+@pytest.mark.parametrize("threshold", [0.2, 0.5, 0.8, 0.9, 1.0])
+def test_keys_miss_no_pair(spark, threshold):
+    """Candidates of both formulations, and matches, against all pairs: short and long names, edits anywhere."""
+    r = random.Random(8)
+    names = edited(r, ["".join(r.choice("ab") for _ in range(n)) for n in (0, 1, 2, 5, 8, 9, 10, 11, 17, 18, 19, 20, 21, 22, 30, 41)], 1 - threshold)
+    names = sorted(set(names))
+    wanted = {(i, j) for j in range(len(names)) for i in range(j) if similar(names[i], names[j], threshold)}
+    found = list(candidate_pairs(names, threshold))
+    assert wanted <= set(found) and len(found) == len(set(found))
+    df = spark.createDataFrame([(i, "k", n) for i, n in enumerate(names)], "id int, block string, name string")
+    if Keys(threshold).usable:
+        found = [tuple(p) for p in candidates(df, ["block"], [], "name", threshold, max(map(len, names)), "id").collect()]
+        assert wanted <= set(found) and len(found) == len(set(found))
+    assert sorted(tuple(p) for p in matches(df, ["block"], ["name"], threshold).collect()) == sorted(wanted)
+
+
+def test_comparisons_grow_with_the_input(spark):
+    """Numbered names of one block: a few are compared for each, not all of them."""
+    names = [f"Customer#{i * 7919 % 10**6:09d}" for i in range(4000)]
+    df = spark.createDataFrame(list(enumerate(names)), "id int, name string").withColumn("block", F.lit("k"))
+    compared = candidates(df, ["block"], [], "name", 0.9, 18, "id").count()
+    assert compared == len(list(candidate_pairs(names, 0.9))) and compared < 10 * len(names)
+
+
+def test_other_names_count(spark):
+    """The name with more values gives the keys, whichever it is; the other must be alike too."""
+    rows = [(i, 0, f"n{i % 3}" + "a" * 20 * (i % 2), f"{i // 4:06d}abcdefghijkl") for i in range(60)]
+    for first, last in (("a", "b"), ("b", "a")):
+        df = spark.createDataFrame(rows, f"id int, block int, {first} string, {last} string")
+        wanted = {(x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and similar(x[2], y[2], 0.9) and similar(x[3], y[3], 0.9)}
+        assert {tuple(p) for p in matches(df, ["block"], ["a", "b"]).collect()} == wanted and len(wanted) > 10
