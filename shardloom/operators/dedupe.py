@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import could_be_similar, name_similarity, parts_score
 from ..session import checkpoints
-from .alike import Keys, candidates
+from .alike import Keys, candidate_pairs, candidates
 from .components import connected_components
 
 #: Names match from this similarity on (fixed value).
@@ -127,11 +128,12 @@ def deduplicated(people: DataFrame, source: str | None = "SourceId", id_col: str
 def deduplicated_in_blocks(people: DataFrame, source: str | None = "SourceId", id_col: str = "id", threshold: float = THRESHOLD) -> DataFrame:
     """id, component by union-find within each block, in Python: the second formulation of matching and connecting.
 
-    A block is one group, so it must fit a worker; the canonical form has no such bound.
+    A block is one group, so it must fit a worker; the canonical form has no such bound. Within it, different names are
+    compared where they share a key (alike.candidate_pairs).
     """
 
     def similar(a: str, b: str) -> bool:
-        if not max(len(a), len(b)):
+        if a == b:
             return True
         row = list(range(len(b) + 1))
         for i, x in enumerate(a, 1):
@@ -146,15 +148,38 @@ def deduplicated_in_blocks(people: DataFrame, source: str | None = "SourceId", i
 
         def find(i: int) -> int:
             while root[i] != i:
-                i = root[i]
+                root[i] = i = root[root[i]]
             return i
 
-        rows = list(zip(ids, pdf["__s"], pdf["FirstName"], pdf["LastName"], strict=True))
-        for n, (i, s, f, g) in enumerate(rows):
-            for j, t, h, k in rows[:n]:
-                if (source is None or s != t) and similar(f, h) and similar(g, k):
-                    a, b = find(i), find(j)
-                    root[max(a, b)] = min(a, b)
+        def union(i: int, j: int) -> None:
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
+
+        def link(left: dict[str, list[int]], right: dict[str, list[int]]) -> None:
+            for s, us in left.items():
+                for t, vs in right.items():
+                    if source is None or s != t:
+                        # All of a name and source are linked by way of the other; from then on the first stands for them.
+                        for held in (us, vs):
+                            for i in held[1:]:
+                                union(held[0], i)
+                            del held[1:]
+                        union(us[0], vs[0])
+
+        of: dict[tuple[str, str], dict[str, list[int]]] = {}
+        for i, s, *names in zip(ids, pdf["__s"], pdf["FirstName"], pdf["LastName"], strict=True):
+            of.setdefault(tuple(names), {}).setdefault(s, []).append(i)
+        by = max((0, 1), key=lambda n: len({names[n] for names in of}))
+        exact, alike = Keys(threshold).exact, defaultdict(list)
+        for names in of:
+            other = names[1 - by]
+            alike[other if len(other) <= exact else None].append(names)
+        for some in alike.values():
+            for names in some:
+                link(of[names], of[names])
+            for i, j in candidate_pairs([names[by] for names in some], threshold):
+                if all(map(similar, some[i], some[j])):
+                    link(of[some[i]], of[some[j]])
         return pd.DataFrame({"id": ids, "component": [find(i) for i in ids]})
 
     keys = ["block_zip", "block_first", "block_last"]
