@@ -1,8 +1,8 @@
 """Other formulations of the statistics, kept to be held against the canonical ones and to offer their surfaces.
 
 Each gives the result of grouped_stats, conditional_stats or bilevel_stats. Where Python sees groups, it sees them in
-bounded parts whose states are merged. conditional_window and bilevel_window work on a whole group in one task: they are
-there to be compared, not to be used on large groups.
+bounded parts whose states are merged, and so does conditional_window. bilevel_window works on a whole inner group in one
+task: it is there to be compared, not to be used on large groups.
 """
 
 from __future__ import annotations
@@ -136,11 +136,18 @@ def conditional_nested(df: DataFrame, keys: Sequence[str], predicate: Column, c:
 
 
 def conditional_window(df: DataFrame, keys: Sequence[str], predicate: Column, c: str, d: str, e: str) -> DataFrame:
-    """A window over each group, then one row of it. It carries every row through a sort: prefer the canonical form."""
-    w = Window.partitionBy(*keys)
-    x = F.when(predicate, F.col(e))
-    wide = df.select(*keys, F.avg(c).over(w).alias("mean_of_C"), F.max(d).over(w).alias("max_of_D"), F.var_pop(x).over(w).alias("cond_var_of_E"))
-    return wide.groupBy(*keys).agg(*[F.max(n).alias(n) for n in ("mean_of_C", "max_of_D", "cond_var_of_E")], F.max("cond_var_of_E").alias("cond_var_of_E2"))
+    """A window over each part of a group, one row of each, then their states merged. It carries every row through a sort: prefer the canonical form."""
+    rows = in_parts(df.select(*keys, F.col(c).alias("__c"), F.col(d).alias("__d"), F.when(predicate, F.col(e)).cast("double").alias("__e")))
+    w = Window.partitionBy(*keys, "__part")
+    own = {"nc": F.count("__c"), "c": F.avg("__c"), "d": F.max("__d"), "ne": F.count("__e"), "e": F.avg("__e"), "v": F.var_pop("__e")}
+    low = rows.select(*keys, "__part", *[f.over(w).alias(f"__{n}") for n, f in own.items()]).groupBy(*keys, "__part").agg(*[F.max(f"__{n}").alias(f"__{n}") for n in own])
+    zero, none = F.lit(0.0), F.lit(None).cast("double")
+    state = lambda v, n, mean, m2, top: F.struct(F.lit(v).alias("value"), n.alias("n"), F.coalesce(mean, zero).alias("mean"), F.coalesce(m2, zero).alias("m2"), top.cast("double").alias("max"))
+    each = F.array(
+        state("C", F.col("__nc"), F.col("__c"), zero, none), state("D", F.lit(0).cast("long"), zero, zero, F.col("__d")), state("E", F.col("__ne"), F.col("__e"), F.col("__v") * F.col("__ne"), none)
+    )
+    states = low.select(*keys, F.explode(each).alias("__s")).select(*keys, "__s.*")
+    return _of_states(states, keys, "C", "D", "E").withColumnsRenamed({"var_of_E": "cond_var_of_E", "var_of_E2": "cond_var_of_E2"})
 
 
 def conditional_map(df: DataFrame, keys: Sequence[str], predicate: Column, c: str, d: str, e: str) -> DataFrame:

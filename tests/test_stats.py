@@ -1,4 +1,5 @@
 import math
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -151,3 +152,12 @@ def test_strict_comparison():
     assert differences(right.copy(), right, ["k"]) == []
     for wrong in (right.iloc[:1], right.rename(columns={"x": "y"}), right.assign(x=[1.0, 2.0]), right.assign(x=[1.1, None]), right.iloc[:0]):
         assert differences(wrong, right, ["k"])
+
+
+def test_windows_are_over_parts(facts, monkeypatch):
+    """A group's rows are in several windows of a bounded number of rows, with the same result."""
+    monkeypatch.setattr(variants, "PART_ROWS", 7)
+    found = variants.conditional_window(facts, KEYS, F.col("E") < 0, "C", "D", "E")
+    check(found, brute(six_fields(), lambda e: e < 0), "cond_var_of_E")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"Window \[.*windowspecdefinition\(grp#\d+, subgrp#\d+, __part#", plan)
