@@ -7,8 +7,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import checkpoints
 from ..sources.schemas import STUDENT_SUMMARY
@@ -16,20 +18,40 @@ from ..sources.schemas import STUDENT_SUMMARY
 #: Departments are numbered from 0 (fixed value).
 DEPARTMENTS = 4
 PLACE = ("file", "block", "at")
+#: Lines of a task, about: tasks grow in number with the lines, not in size.
+TASK_LINES = 250_000
 
 
-def section_ids(lines: DataFrame, is_header: Column, name: str = "section") -> DataFrame:
-    """lines (value, file, block, at) with the number of headers up to and with each line, over all files.
+def parts_of(lines: DataFrame) -> int:
+    """Of how many tasks lines are; they are counted at once."""
+    return 1 + lines.count() // TASK_LINES
+
 
-    Headers are counted for each block of a file, blocks are added up (one row each), then lines within a block; a
-    section may span blocks and files. Lines before the first header have number 0.
+def header_counts(lines: DataFrame, headers: dict[str, Column]) -> DataFrame:
+    """lines (value, file, block, at) with, by name, the number of lines of each kind up to and with each line, over all files.
+
+    They are counted for each block of a file, blocks are added up (one row each), then lines within a block.
     """
-    flagged = lines.withColumn("__h", is_header.cast("long"))
-    blocks = flagged.groupBy("file", "block").agg(F.sum("__h").alias("__n"))
+    flagged = lines.withColumns({f"__h_{n}": F.coalesce(h.cast("long"), F.lit(0)) for n, h in headers.items()})
+    blocks = flagged.groupBy("file", "block").agg(*[F.sum(f"__h_{n}").alias(f"__n_{n}") for n in headers])
     before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.select("file", "block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    starts = blocks.select("file", "block", *[F.coalesce(F.sum(f"__n_{n}").over(before), F.lit(0)).alias(f"__s_{n}") for n in headers])
     within = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    return flagged.join(starts, ["file", "block"]).withColumn(name, F.col("__start") + F.sum("__h").over(within)).drop("__h", "__start")
+    counts = {n: F.col(f"__s_{n}") + F.sum(f"__h_{n}").over(within) for n in headers}
+    return flagged.join(starts, ["file", "block"]).withColumns(counts).drop(*[f"__{k}_{n}" for n in headers for k in "hs"])
+
+
+def section_ids(lines: DataFrame, is_header: Column, name: str = "section") -> DataFrame:
+    """lines (value, file, block, at) with the number of headers up to and with each line, over all files.
+
+    A section may span blocks and files. Lines before the first header have number 0.
+    """
+    return header_counts(lines, {name: is_header})
+
+
+def part(i: int) -> Column:
+    """A line's field."""
+    return F.get(F.split(F.rtrim("value"), ","), F.lit(i))
 
 
 def sparse_lines(lines: DataFrame) -> DataFrame:
@@ -37,7 +59,6 @@ def sparse_lines(lines: DataFrame) -> DataFrame:
 
     Columns that a kind lacks are null, as are numbers that don't parse. Other columns of lines come along.
     """
-    part = lambda i: F.get(F.split(F.rtrim("value"), ","), F.lit(i))
     kind = part(0)
     of = lambda k, i, t: F.when(kind == k, part(i).try_cast(t))
     return lines.select(
@@ -63,21 +84,28 @@ def student_summaries(lines: DataFrame) -> DataFrame:
     SourceLines is the header and the lines of closed trimesters; Major the last footer's; GPA the mean grade by
     credits, 0 without credits, MajorGPA the same over the major's department (null without a major).
     """
-    typed = sparse_lines(section_ids(lines, F.col("value").startswith("S,"))).where("section > 0")
-    w = Window.partitionBy("section").orderBy(*PLACE).rowsBetween(Window.unboundedPreceding, 0)
-    typed = typed.withColumn("term", F.sum(F.when(F.col("Type") == "TH", 1).otherwise(0)).over(w))
-    whole = Window.partitionBy("section", "term")
-    closed = typed.withColumn("closed", (F.col("term") > 0) & (F.max(F.when(F.col("Type") == "TF", 1).otherwise(0)).over(whole) == 1))
-    counts = F.col("closed") & F.col("Type").isin("TH", "C", "TF")
-    graded = F.col("closed") & (F.col("Type") == "C")
-    by_dept = closed.groupBy("section", "Dept").agg(
-        F.max("StudentId").alias("StudentId"),
-        F.max("StudentName").alias("StudentName"),
-        F.sum(F.when(counts, 1).otherwise(0)).alias("n"),
+    parts = parts_of(lines)
+    counted = header_counts(lines.repartition(parts, "file", "block"), {"section": F.col("value").startswith("S,"), "term": part(0) == "TH", "foot": part(0) == "TF"})
+    typed = sparse_lines(counted.where("section > 0").select("section", "term", "foot", "value")).repartition(parts, "section")
+    # Sums are of numbers alone, so they need no sort; all that follows is done where a section's lines are.
+    graded = F.col("Type") == "C"
+    owners = ("StudentId", "StudentName", "Major")
+    low = typed.groupBy("section", "term", "Dept", *owners).agg(
+        F.count_if(F.col("Type") == "TH").alias("heads"),
+        F.count_if(F.col("Type") == "TF").alias("feet"),
+        F.count_if(F.col("Type").isin("TH", "C", "TF")).alias("n"),
         F.sum(F.when(graded, F.col("ClassCredits"))).alias("credits"),
         F.sum(F.when(graded, F.col("ClassCredits") * F.col("ClassGrade"))).alias("points"),
-        F.max(F.when(F.col("closed") & (F.col("Type") == "TF"), F.struct(*PLACE, "Major"))).alias("last"),
+        F.max(F.when(F.col("Type") == "TF", F.col("foot"))).alias("foot"),
     )
+    # Terms are numbered over all sections: what follows a section's header has no term before the section's first.
+    whole = Window.partitionBy("section", "term")
+    closed = low.withColumn("closed", (F.sum("heads").over(whole) > 0) & (F.sum("feet").over(whole) > 0))
+    held = lambda c: F.when(F.col("closed"), F.col(c))
+    by_dept = closed.groupBy("section", "Dept", *owners).agg(
+        F.coalesce(F.sum(held("n")), F.lit(0)).alias("n"), F.sum(held("credits")).alias("credits"), F.sum(held("points")).alias("points"), F.max(held("foot")).alias("foot")
+    )
+    by_dept = by_dept.withColumn("last", F.when(F.col("foot").isNotNull(), F.struct("foot", "Major")))
     major = F.max("last").over(Window.partitionBy("section"))["Major"]
     own = F.col("Dept") == F.col("Major")
     none = F.lit(0)
@@ -201,16 +229,31 @@ def joined(parts: list[Snippet]) -> Snippet:
 def summaries_by_state_machine(lines: DataFrame) -> DataFrame:
     """student_summaries by one pass over each section's lines, in Python: the second formulation.
 
-    A group is one section, whose size the data's maker bounds.
+    Sections follow one another in a partition, and lines come in batches: a worker holds a batch and an open trimester.
     """
-    typed = sparse_lines(section_ids(lines, F.col("value").startswith("S,"))).where("section > 0")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(list(PLACE)).astype(object).to_dict("records")
-        found = snippet_of({k: (int(v) if isinstance(v, float) and k != "TriGPA" and v == v else v) for k, v in r.items()} for r in rows)
-        return pd.DataFrame([s.summary() for s in found.done], columns=STUDENT_SUMMARY.names)
-
-    return typed.groupBy("section").applyInPandas(run, STUDENT_SUMMARY)
+    parts = parts_of(lines)
+    typed = sparse_lines(section_ids(lines.repartition(parts, "file", "block"), F.col("value").startswith("S,"))).where("section > 0")
+    fields = ("Type", "StudentId", "StudentName", "Dept", "ClassCredits", "ClassGrade", "Major")
+    ordered = typed.select("section", *PLACE, *fields).repartition(parts, "section").sortWithinPartitions("section", *PLACE).select(*fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema, now = to_arrow_schema(STUDENT_SUMMARY), None
+        of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        for b in batches:
+            done = []
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if row[0] != "S":
+                    now.add(dict(zip(fields, row, strict=True)))
+                    continue
+                if now:
+                    done.append(now.summary())
+                now = Section(row[1:3], loose=None)
+            if done:
+                yield of(done)
+        if now:
+            yield of([now.summary()])
+
+    return ordered.mapInArrow(run, STUDENT_SUMMARY)
 
 
 def summaries_by_snippets(lines: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from shardloom.operators import sections
 from shardloom.operators.ordered import ordered_aggregate, running_sum, zip_with_index
 from shardloom.operators.sections import joined, section_ids, snippet_of, sparse_lines, student_summaries, summaries_by_snippets, summaries_by_state_machine
 from shardloom.sources.readers import read_lines
@@ -123,3 +124,14 @@ def test_header_ranges(spark):
     wanted = sorted(zip(sorted(places), [*sorted(places)[1:], None]), key=str)
     assert sorted(((r["at"], r["next"]) for r in header_ranges(df, "at").collect()), key=str) == wanted
     assert header_ranges(df.limit(0), "at").count() == 0
+
+
+@pytest.mark.parametrize("form", [student_summaries, summaries_by_state_machine])
+def test_tasks_follow_the_lines(spark, tmp_path, form, monkeypatch):
+    """More lines are more tasks, not larger ones; and Python isn't started for each section."""
+    monkeypatch.setattr(sections, "TASK_LINES", 50)
+    lines = ODD + section_text()
+    out = form(read_lines(spark, written(tmp_path, lines, 3)))
+    agrees(out, lines)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(section#" in plan and f", {1 + len(lines) // 50})" in plan and "FlatMapGroupsInPandas" not in plan
