@@ -196,5 +196,5 @@ def test_blocks_in_python_compare_few(spark):
         a = {r["id"]: r["component"] for r in with_components(blocked, pairs).select("id", "component").collect()}
         start = time.monotonic()
         b = {r["id"]: r["component"] for r in deduplicated_in_blocks(df, source=source).collect()}
-        # Comparing all 1,124,250 pairs of names had not ended after 150 s for the first of the two.
+        # Comparing all 4,498,500 pairs of records had not ended after 150 s, with the start of Spark, for the first of the two.
         assert a == b and time.monotonic() - start < 60
